@@ -26,11 +26,12 @@ PRAISE = "service_praise"
 GENERAL = "general_service"
 INTENTS = (CANCELLATION, CLAIM, PRICE, UPSELL, PRAISE, GENERAL)
 
-CANCELLATION_PATTERN = r"\bcancel|\bport\b|port my|not renew|stop the auto-debit"
-CLAIM_TROUBLE_PATTERN = r"still|pending|delay|surveyor|approved only|verification|nobody"
-PRICE_PATTERN = r"premium has increased|cheaper|discount|quotes|price is higher|budget|aggregator"
-UPSELL_PATTERN = r"add her|top-up|home insurance|term plan|sum insured enough|quote\."
-PRAISE_PATTERN = r"say thanks|very easy|very smooth|keep it up|recommended you"
+CANCELLATION_WHOLE_WORDS = r"\bcancel|\bport\b"
+CANCELLATION_PHRASES = ("port my", "not renew", "stop the auto-debit")
+CLAIM_TROUBLE_PHRASES = ("still", "pending", "delay", "surveyor", "approved only", "verification", "nobody")
+PRICE_PHRASES = ("premium has increased", "cheaper", "discount", "quotes", "price is higher", "budget", "aggregator")
+UPSELL_PHRASES = ("add her", "top-up", "home insurance", "term plan", "sum insured enough", "quote.")
+PRAISE_PHRASES = ("say thanks", "very easy", "very smooth", "keep it up", "recommended you")
 
 SENTIMENT_LABELS = ("negative", "neutral", "positive")
 SENTIMENT_CUT = 0.25

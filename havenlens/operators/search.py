@@ -44,9 +44,16 @@ def search_corpus(insights: DataFrame) -> DataFrame:
         .alias("search_text"))
 
 
-def tokens(text: Column) -> Column:
-    """Lower-case runs of letters and digits."""
-    return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda t: t != "")
+def spaced_tokens(text: Column) -> Column:
+    """Lower-case runs of letters and digits, each with a space of its own on either side."""
+    return F.concat(F.lit(" "), F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+", "  "), F.lit(" "))
+
+
+def occurrences(spaced: Column, term: str) -> Column:
+    """How often a token occurs in a spaced text."""
+    token = F.lit(f" {term} ")
+    return F.when(F.contains(spaced, token), (
+        F.length(spaced) - F.length(F.replace(spaced, token, F.lit("")))) / F.lit(len(term) + 2)).otherwise(F.lit(0.0))
 
 
 def refresh_corpus(insights: DataFrame, stored: DataFrame) -> DataFrame:
@@ -70,15 +77,14 @@ def keyword_search(corpus: DataFrame, queries: Sequence[SearchQuery], k: int = 5
     the `per` values it lists.
     """
     vocabulary = sorted({term for query in queries for term in query.terms})
-    terms = F.array(*[F.lit(term) for term in vocabulary])
 
     def counted(docs: DataFrame) -> DataFrame:
-        all_tokens = docs.withColumn("all_tokens", tokens(F.col(text_column)))
-        matched = all_tokens.withColumns({
-            "doc_len": F.size("all_tokens"),
-            "matched": F.filter("all_tokens", lambda t: t.isin(*vocabulary))}).drop("all_tokens")
-        return matched.withColumn("tf", F.transform(terms, lambda term: F.size(
-            F.filter("matched", lambda t: t == term)))).drop("matched")
+        spaced = F.col("spaced")
+        blanks = F.length(spaced) - F.length(F.replace(spaced, F.lit(" "), F.lit("")))
+        empty_ends = (F.startswith(spaced, F.lit("   ")).cast("int") + F.endswith(spaced, F.lit("   ")).cast("int"))
+        return docs.withColumn("spaced", spaced_tokens(F.col(text_column))).withColumns({
+            "doc_len": F.when(F.trim(spaced) == "", 0).otherwise(blanks / 2 - empty_ends).cast("long"),
+            "tf": F.array(*[occurrences(spaced, term) for term in vocabulary])}).drop("spaced")
 
     n_docs, total_len = F.count("*").alias("n_docs"), F.sum("doc_len").alias("total_len")
     freq = F.array(*[F.count_if(F.get("tf", F.lit(i)) > 0) for i in range(len(vocabulary))]).alias("freq")

@@ -17,6 +17,10 @@ def _hits(terms) -> str:
         f"(length(lowered) - length(replace(lowered, {_quoted(t)}, ''))) / {len(t)}" for t in terms)
 
 
+def _any(phrases) -> str:
+    return "|".join(re.escape(p).replace("\\ ", " ").replace("\\-", "-") for p in phrases)
+
+
 def _text(template: str, **slots: str) -> str:
     parts = []
     for piece in re.split(r"(\{\w+\})", template):
@@ -95,12 +99,12 @@ STEPS |= {
  lambda x: trim(substr(x, 10))), ' ') AS customer_text FROM call_transcripts) s""",
     "scored": f"""SELECT *, round_even(greatest(-0.95::DOUBLE, least(0.95::DOUBLE,
  (p - 1.3::DOUBLE * n) / (p + n + 1.5::DOUBLE))) * 1000, 0) / 1000 AS sentiment_score,
- CASE WHEN regexp_matches(lowered, '{K.CANCELLATION_PATTERN}') THEN 'cancellation_intent'
-  WHEN (contains(lowered, 'claim') AND regexp_matches(lowered, '{K.CLAIM_TROUBLE_PATTERN}'))
+ CASE WHEN regexp_matches(lowered, '{K.CANCELLATION_WHOLE_WORDS}|{_any(K.CANCELLATION_PHRASES)}') THEN 'cancellation_intent'
+  WHEN (contains(lowered, 'claim') AND regexp_matches(lowered, '{_any(K.CLAIM_TROUBLE_PHRASES)}'))
    OR contains(lowered, 'garage') THEN 'claim_issue'
-  WHEN regexp_matches(lowered, '{K.PRICE_PATTERN}') THEN 'price_concern'
-  WHEN regexp_matches(lowered, '{K.UPSELL_PATTERN}') THEN 'upsell_interest'
-  WHEN regexp_matches(lowered, '{K.PRAISE_PATTERN}') THEN 'service_praise' ELSE 'general_service' END AS primary_intent
+  WHEN regexp_matches(lowered, '{_any(K.PRICE_PHRASES)}') THEN 'price_concern'
+  WHEN regexp_matches(lowered, '{_any(K.UPSELL_PHRASES)}') THEN 'upsell_interest'
+  WHEN regexp_matches(lowered, '{_any(K.PRAISE_PHRASES)}') THEN 'service_praise' ELSE 'general_service' END AS primary_intent
  FROM (SELECT *, {_hits(K.POSITIVE_TERMS)} AS p, {_hits(K.NEGATIVE_TERMS)} AS n FROM said) h""",
     "insights": f"""SELECT transcript_id, customer_id, policy_id, call_ts, agent_id, customer_text, sentiment_score,
  CASE WHEN sentiment_score <= -0.25 THEN 'negative' WHEN sentiment_score >= 0.25 THEN 'positive' ELSE 'neutral' END

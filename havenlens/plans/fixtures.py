@@ -11,6 +11,7 @@ import datetime as dt
 from pyspark.sql import DataFrame, SparkSession
 
 from havenlens import schemas
+from havenlens.sources.tables import spread
 
 AS_OF = dt.date(2001, 11, 5)
 POLICY_PATTERN = r"P\d{15}"
@@ -150,10 +151,17 @@ SCHEMAS = {
     "action_log": schemas.ACTION_LOG,
 }
 INPUTS = ("customer", "nation", "region", "orders", "lineitem", "events")
+SPREAD = ("lineitem", "events", "documents", "conversations")
 
 
-def read_tables(spark: SparkSession, folder: str, names: tuple[str, ...] = INPUTS) -> dict[str, DataFrame]:
-    return {name: spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet") for name in names}
+def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """One input; a large table that arrives as a single split is spread over the cores before any text work."""
+    table = spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
+    return spread(table) if name in SPREAD else table
+
+
+def read_tables(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
+    return {name: read_table(spark, folder, name) for name in INPUTS}
 
 
 def view(spark: SparkSession, name: str, tables: dict[str, DataFrame]) -> DataFrame:

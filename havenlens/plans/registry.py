@@ -39,7 +39,7 @@ class Context:
     book: Book
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder.rstrip('/')}/{name}.parquet")
+        return fx.read_table(self.spark, self.folder, name)
 
     def scratch(self, name: str) -> str:
         return scratch_path(self.spark, name)

@@ -36,6 +36,12 @@ def read_raw_tables(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
             for name, schema in schemas.RAW_TABLES.items()}
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Spread an input that has fewer splits than there are cores; larger inputs are left as they are, unshuffled."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def write_table(df: DataFrame, path: str, month_of: str | None = None, mode: str = "overwrite") -> None:
     """Parquet table; with `month_of`, partitioned by the month of that column (files of a busy month are split)."""
     if month_of is None:
