@@ -12,7 +12,7 @@ from havenlens import constants as K
 from havenlens.functions import churn
 from havenlens.functions.numeric import fixed, ratio
 from havenlens.functions.rules import fill, first_match
-from havenlens.operators.customer360 import days_back
+from havenlens.operators.customer360 import since
 
 GENERATED_BY = "rule engine"
 RESPONSE = T.StructType([
@@ -82,7 +82,7 @@ def evidence_pool(insights: DataFrame, as_of: dt.date, k: int = 3) -> DataFrame:
     """
     latest = Window.partitionBy("customer_id", "primary_intent").orderBy(
         F.desc("call_ts"), F.desc("transcript_id"))
-    kept = (insights.where(F.col("call_ts") >= days_back(as_of, 180))
+    kept = (since(insights, as_of, 180)
             .select("customer_id", "primary_intent", "call_ts", "transcript_id")
             .withColumn("nth", F.row_number().over(latest)).where(F.col("nth") <= k))
     return kept.groupBy("customer_id").agg(F.sort_array(F.collect_list(

@@ -28,6 +28,14 @@ def days_back(as_of: dt.date, days: int) -> Column:
     return F.lit(midnight.isoformat(sep=" ")).cast("timestamp_ntz")
 
 
+def since(calls: DataFrame, as_of: dt.date, days: int) -> DataFrame:
+    """Calls of the last `days` days. A table laid out by month is pruned to the months concerned."""
+    kept = calls.where(F.col("call_ts") >= days_back(as_of, days))
+    if "month" in calls.columns:
+        kept = kept.where(F.col("month") >= (as_of - dt.timedelta(days=days)).strftime("%Y-%m"))
+    return kept
+
+
 def policy_profile(policies: DataFrame, as_of: dt.date) -> DataFrame:
     """Holdings and next renewal together: one scan and one exchange for both."""
     status, live = F.col("status"), F.col("status") != K.LAPSED
@@ -88,7 +96,7 @@ def payments_rollup_12m(payments: DataFrame, as_of: dt.date) -> DataFrame:
 
 
 def calls_rollup_180d(transcripts: DataFrame, as_of: dt.date) -> DataFrame:
-    return transcripts.where(F.col("call_ts") >= days_back(as_of, 180)).groupBy("customer_id").agg(
+    return since(transcripts, as_of, 180).groupBy("customer_id").agg(
         F.count("*").alias("n_calls_180d"),
         F.max("call_ts").alias("last_call_ts"),
         F.floor(F.coalesce(F.sum("duration_sec"), F.lit(0)) / 60).cast("long").alias("call_minutes_180d"))
@@ -97,7 +105,7 @@ def calls_rollup_180d(transcripts: DataFrame, as_of: dt.date) -> DataFrame:
 def ai_signals(insights: DataFrame, as_of: dt.date) -> DataFrame:
     recent = F.col("call_ts") >= days_back(as_of, 90)
     intent, score = F.col("primary_intent"), F.col("sentiment_score")
-    grouped = insights.where(F.col("call_ts") >= days_back(as_of, 180)).groupBy("customer_id").agg(
+    grouped = since(insights, as_of, 180).groupBy("customer_id").agg(
         exact_mean(score, 3, recent).alias("avg_sentiment_90d"),
         exact_mean(score, 3).alias("avg_sentiment_180d"),
         F.max(F.struct("call_ts", "transcript_id", "sentiment_score", "primary_intent")).alias("last"),

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from havenlens import constants as K
 from havenlens.functions import churn
 from havenlens.functions.numeric import inr_label, ratio
-from havenlens.operators.customer360 import as_of_date, days_back
+from havenlens.operators.customer360 import as_of_date, since
 
 
 def _by_band(value) -> list:
@@ -29,7 +29,7 @@ def portfolio_filter(nba: DataFrame, policies: DataFrame, products: Sequence[str
     if cities:
         cohort = cohort.where(F.col("city").isin(*cities))
     if products:
-        holders = policies.where(F.col("product_line").isin(*products)).select("customer_id")
+        holders = policies.where(F.col("product_line").isin(*products)).select("customer_id").distinct()
         cohort = cohort.join(holders, "customer_id", "left_semi")
     return cohort
 
@@ -53,25 +53,31 @@ def _bands(cohort: DataFrame) -> DataFrame:
 
 
 def premium_by_product_band(cohort: DataFrame, policies: DataFrame) -> DataFrame:
-    live = policies.where(F.col("status") != K.LAPSED).select("customer_id", "product_line", "annual_premium")
+    """Premium that has not lapsed, product × band.
+
+    Facts are summed per customer before they meet the cohort, here and below, so that the join sees few rows of even
+    the largest customer.
+    """
+    live = (policies.where(F.col("status") != K.LAPSED).groupBy("customer_id", "product_line")
+            .agg(F.sum("annual_premium").alias("annual_premium")))
     return live.join(_bands(cohort), "customer_id").groupBy("product_line").agg(*_by_band(F.col("annual_premium")))
 
 
 def intent_by_sentiment(cohort: DataFrame, insights: DataFrame, as_of: dt.date) -> DataFrame:
     """Calls of the last 180 days by intent and mood, smallest total first."""
-    recent = insights.where(F.col("call_ts") >= days_back(as_of, 180)).select(
-        "customer_id", "primary_intent", "sentiment_label")
     moods = [F.count_if(F.col("sentiment_label") == label).alias(label) for label in K.SENTIMENT_LABELS]
-    return (recent.join(cohort.select("customer_id"), "customer_id", "left_semi")
-            .groupBy("primary_intent").agg(*moods, F.count("*").alias("n_calls")).orderBy("n_calls", "primary_intent"))
+    per_customer = since(insights, as_of, 180).groupBy("customer_id", "primary_intent").agg(
+        *moods, F.count("*").alias("n_calls"))
+    return (per_customer.join(cohort.select("customer_id"), "customer_id", "left_semi").groupBy("primary_intent")
+            .agg(*[F.sum(c).alias(c) for c in (*K.SENTIMENT_LABELS, "n_calls")]).orderBy("n_calls", "primary_intent"))
 
 
 def renewal_pipeline(cohort: DataFrame, policies: DataFrame, as_of: dt.date, days: int = 90) -> DataFrame:
     """Premium renewing per week (Monday start) and band, today and the last day included."""
-    due = policies.where(F.col("renewal_date").between(as_of_date(as_of), F.date_add(as_of_date(as_of), days))).select(
-        "customer_id", "renewal_date", "annual_premium")
-    week = F.trunc("renewal_date", "week").alias("week")
-    return (due.join(_bands(cohort), "customer_id").groupBy(week).agg(*_by_band(F.col("annual_premium")))
+    due = policies.where(F.col("renewal_date").between(as_of_date(as_of), F.date_add(as_of_date(as_of), days)))
+    weekly = due.groupBy("customer_id", F.trunc("renewal_date", "week").alias("week")).agg(
+        F.sum("annual_premium").alias("annual_premium"))
+    return (weekly.join(_bands(cohort), "customer_id").groupBy("week").agg(*_by_band(F.col("annual_premium")))
             .orderBy("week"))
 
 

@@ -67,15 +67,16 @@ STAGES = ("interaction_insights", "customer_360", "churn_risk", "next_best_actio
 def run_stages(spark: SparkSession, book: Book, folder: str) -> dict[str, DataFrame]:
     """Write the four stages in order, each reading the one before from its table.
 
-    The text is read and scored once, and a lost executor costs at most the stage that was running.
+    The text is read and scored once, by tasks that shuffle nothing, and a lost executor costs at most the stage that
+    was running.
     """
-    def stage(name: str, df: DataFrame, month_of: str | None = None) -> DataFrame:
+    def stage(name: str, df: DataFrame) -> DataFrame:
         path = f"{folder.rstrip('/')}/{name}"
-        io.write_table(df, path, month_of)
+        io.write_table(df, path)
         return spark.read.parquet(path)
 
     stored = {}
-    stored["interaction_insights"] = stage("interaction_insights", book.insights, "call_ts").drop("month")
+    stored["interaction_insights"] = stage("interaction_insights", book.insights)
     stored["customer_360"] = stage("customer_360", customer360.customer_360(
         book.customers, book.policies, book.claims, book.payments, book.call_transcripts,
         stored["interaction_insights"], book.as_of))

@@ -151,7 +151,7 @@ SCHEMAS = {
     "action_log": schemas.ACTION_LOG,
 }
 INPUTS = ("customer", "nation", "region", "orders", "lineitem", "events")
-SPREAD = ("lineitem", "events", "documents", "conversations")
+SPREAD = ("customer", "orders", "lineitem", "events", "documents", "embeddings", "conversations")
 
 
 def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:

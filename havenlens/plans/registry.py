@@ -5,6 +5,7 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Callable
 from dataclasses import dataclass
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -45,7 +46,18 @@ class Context:
         return scratch_path(self.spark, name)
 
 
+_books: WeakKeyDictionary[SparkSession, dict[str, Book]] = WeakKeyDictionary()
+
+
 def fixture_book(spark: SparkSession, folder: str) -> Book:
+    """The book over one folder. Plans are kept per session, so a table is analysed once; no data is kept."""
+    books = _books.setdefault(spark, {})
+    if folder not in books:
+        books[folder] = make_book(spark, folder)
+    return books[folder]
+
+
+def make_book(spark: SparkSession, folder: str) -> Book:
     inputs = fx.read_tables(spark, folder)
     views = {name: fx.view(spark, name, inputs) for name in fx.VIEWS}
     return Book(views["customers"], views["policies"], views["claims"], views["payments"], views["call_transcripts"],
@@ -870,7 +882,7 @@ def _(c):
     return ask.governed_select(
         c.spark, "```sql\nSELECT segment, risk_band, count(*) AS n, sum(total_annual_premium) AS premium "
         "FROM next_best_actions GROUP BY segment, risk_band;\n```",
-        lambda session: fixture_book(session, c.folder).queryable)
+        lambda session: make_book(session, c.folder).queryable)
 
 
 # --- search --------------------------------------------------------------------------------------

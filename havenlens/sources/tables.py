@@ -37,17 +37,23 @@ def read_raw_tables(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Spread an input that has fewer splits than there are cores; larger inputs are left as they are, unshuffled."""
+    """Spread an input whose few splits would keep most cores idle; other inputs are left as they are, unshuffled."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    return df.repartition(cores) if df.rdd.getNumPartitions() * 4 <= cores else df
 
 
 def write_table(df: DataFrame, path: str, month_of: str | None = None, mode: str = "overwrite") -> None:
-    """Parquet table; with `month_of`, partitioned by the month of that column (files of a busy month are split)."""
+    """Parquet table; with `month_of`, laid out by the month of that column.
+
+    Appends span few months and are written where they are. A first load may span all of them and is rebalanced, which
+    splits the busy months instead of sending each to one task.
+    """
     if month_of is None:
         df.write.mode(mode).parquet(path)
         return
-    by_month = df.withColumn("month", F.date_format(month_of, "yyyy-MM")).hint("rebalance", F.col("month"))
+    by_month = df.withColumn("month", F.date_format(month_of, "yyyy-MM"))
+    if mode == "overwrite":
+        by_month = by_month.hint("rebalance", F.col("month"))
     by_month.write.mode(mode).partitionBy("month").parquet(path)
 
 
@@ -140,9 +146,9 @@ def key_checks(tables: Mapping[str, tuple[DataFrame, str]],
             F.struct(F.lit(f"{name}.null_keys").alias("check_name"), F.col("nulls").alias("n_bad")),
             F.struct(F.lit(f"{name}.duplicate_keys").alias("check_name"), F.col("duplicates").alias("n_bad"))))))
     for name, (child, column, parent, key) in references.items():
-        linked = child.where(F.col(column).isNotNull()).select(F.col(column).alias("key"))
+        linked = child.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("key")).agg(F.count("*").alias("n"))
         orphans = linked.join(parent.select(F.col(key).alias("key")), "key", "left_anti")
-        reports.append(orphans.agg(F.count("*").alias("n_bad")).select(
+        reports.append(orphans.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_bad")).select(
             F.lit(f"{name}.orphans").alias("check_name"), "n_bad"))
     stacked = reports[0]
     for report in reports[1:]:
