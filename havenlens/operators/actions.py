@@ -12,6 +12,7 @@ from havenlens import constants as K
 from havenlens.functions import churn
 from havenlens.functions.numeric import fixed, ratio
 from havenlens.functions.rules import fill, first_match
+from havenlens.functions.times import moment
 from havenlens.operators.customer360 import since
 
 GENERATED_BY = "rule engine"
@@ -109,8 +110,6 @@ def evidence_calls(risk: DataFrame, insights: DataFrame, as_of: dt.date, k: int
 def next_best_actions(risk: DataFrame, insights: DataFrame, as_of: dt.date, wording: K.Wording = K.DEFAULT_WORDING,
                       generated_at: dt.datetime | None = None) -> DataFrame:
     """The 24-column action table, one row per customer."""
-    at = F.lit(generated_at).cast("timestamp_ntz") if generated_at else F.date_trunc(
-        "second", F.current_timestamp()).cast("timestamp_ntz")
     category = F.col("action_category")
     return (
         risk.withColumn("action_category", action_category())
@@ -124,7 +123,7 @@ def next_best_actions(risk: DataFrame, insights: DataFrame, as_of: dt.date, word
             cited_calls(category, F.col("recent_calls")).alias("evidence"),
             customer_message(category, wording).alias("customer_message"),
             F.col("preferred_channel").alias("channel"), category.alias("rule_category"),
-            F.lit(GENERATED_BY).alias("generated_by"), at.alias("generated_at")))
+            F.lit(GENERATED_BY).alias("generated_by"), moment(generated_at).alias("generated_at")))
 
 
 def enrichment_queue(risk: DataFrame, done: DataFrame, per_run: int = 50, cap: int = 150) -> DataFrame:

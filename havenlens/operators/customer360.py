@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from havenlens import constants as K
 from havenlens.functions.numeric import exact_mean, half_even, ratio
+from havenlens.functions.times import moment
 
 RENEWAL_COLUMNS = ("next_renewal_policy_id", "next_renewal_product", "next_renewal_plan", "next_renewal_premium",
                    "next_renewal_date", "days_to_renewal")
@@ -24,8 +25,7 @@ def months_back(as_of: dt.date, months: int) -> Column:
 
 def days_back(as_of: dt.date, days: int) -> Column:
     """Midnight `days` days before as_of, in the type of call_ts."""
-    midnight = dt.datetime.combine(as_of, dt.time()) - dt.timedelta(days=days)
-    return F.lit(midnight.isoformat(sep=" ")).cast("timestamp_ntz")
+    return moment(dt.datetime.combine(as_of, dt.time()) - dt.timedelta(days=days))
 
 
 def since(calls: DataFrame, as_of: dt.date, days: int) -> DataFrame:

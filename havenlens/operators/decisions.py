@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from havenlens import constants as K
 from havenlens import schemas
 from havenlens.functions.numeric import ratio
+from havenlens.functions.times import moment
 
 STATUS_COLUMNS = ("action_category", "action", "status", "agent", "ts", "note")
 
@@ -17,13 +18,12 @@ STATUS_COLUMNS = ("action_category", "action", "status", "agent", "ts", "note")
 def log_entries(decisions: DataFrame, log: DataFrame, agent: str | None = None,
                 now: dt.datetime | None = None) -> DataFrame:
     """Log rows for new decisions: ids above every stored one, default agent and timestamp filled in."""
-    at = F.lit(now).cast("timestamp_ntz") if now else F.current_timestamp().cast("timestamp_ntz")
     columns = set(decisions.columns)
     last = log.select(F.coalesce(F.max("log_id"), F.lit(0))).scalar()
     rows = decisions.withColumns({
         "log_id": last + 1 + F.monotonically_increasing_id(),
         "agent": F.coalesce("agent", F.lit(agent)) if "agent" in columns else F.lit(agent),
-        "ts": F.coalesce("ts", at) if "ts" in columns else at,
+        "ts": F.coalesce("ts", moment(now)) if "ts" in columns else moment(now),
     })
     return schemas.conform(rows, schemas.ACTION_LOG)
 

@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from havenlens import schemas
 from havenlens.functions import churn
+from havenlens.functions.times import moment
 
 DATE_COLUMNS = ("customer_since", "next_renewal_date", "start_date", "renewal_date", "claim_date", "settled_date",
                 "due_date", "paid_date", "call_ts", "last_call_ts")
@@ -123,11 +124,9 @@ def snapshot_360(c360: DataFrame, path: str) -> DataFrame:
 def run_meta(accuracy: DataFrame, as_of: dt.date, source: str = "rules", note: str = "",
              generated_at: dt.datetime | None = None) -> DataFrame:
     """One row describing a run."""
-    at = F.lit(generated_at).cast("timestamp_ntz") if generated_at else F.date_trunc(
-        "second", F.current_timestamp()).cast("timestamp_ntz")
     return accuracy.select(
-        F.lit(source).alias("source"), F.lit(as_of).alias("as_of"), at.alias("generated_at"), "intent_accuracy_pct",
-        F.lit(note).alias("note"))
+        F.lit(source).alias("source"), F.lit(as_of).alias("as_of"), moment(generated_at).alias("generated_at"),
+        "intent_accuracy_pct", F.lit(note).alias("note"))
 
 
 def key_checks(tables: Mapping[str, tuple[DataFrame, str]],
