@@ -38,9 +38,9 @@ def read_raw_tables(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Spread an input whose few splits would keep most cores idle; other inputs are left as they are, unshuffled."""
+    """Spread an input whose few splits would keep half of the cores idle; others are left as they are, unshuffled."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() * 4 <= cores else df
+    return df.repartition(cores) if df.rdd.getNumPartitions() * 2 <= cores else df
 
 
 def write_table(df: DataFrame, path: str, month_of: str | None = None, mode: str = "overwrite") -> None:
