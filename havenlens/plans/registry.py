@@ -350,8 +350,6 @@ def _(c):
     return c.book.risk.select("customer_id", churn.premium_at_risk().alias("premium_at_risk"))
 
 
-RISK_COLUMNS = ", ".join((*K.POINT_COLUMNS, "risk_score", "risk_band", "expected_premium_loss"))
-
 
 @query("churn_risk", "SELECT risk.*, coalesce(drivers, '') AS risk_drivers FROM risk "
        "LEFT JOIN driver_text USING (customer_id)")

@@ -46,6 +46,7 @@ def stream_action_status(log: DataFrame, path: str, checkpoint: str) -> Streamin
     """Keep the latest decision per customer as decisions arrive.
 
     Batch n reads version n-1 and writes version n, so a replayed batch rewrites the same version from the same input.
+    Table and checkpoint belong together: begin a new table when the checkpoint is lost.
     """
     def advance(batch: DataFrame, batch_id: int) -> None:
         latest = decisions.latest_decision(batch)
