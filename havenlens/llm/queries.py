@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from havenlens.llm import sharding
+from havenlens.llm import quality, sharding
 from havenlens.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -29,3 +29,32 @@ def _(spark, folder):
     return sharding.shard_by_bytes(read(spark, folder, "documents"), 8).select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
         F.lit(None).cast("int").alias("grown_shard"))
+
+
+#: Runs of anything but blanks, as each engine writes them.
+WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
+
+
+@query("op4_rule_ledger", rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text, {WORDS} AS w FROM documents),
+lines AS (SELECT r, unnest(string_split(text, chr(10))) AS line FROM d),
+dups AS (SELECT r, count(*) AS n_lines, count(*) - count(DISTINCT line) AS n_dup FROM lines
+         WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY r),
+wins AS (SELECT r, i, list_slice(w, i, i + 7) AS win FROM (SELECT r, w, unnest(range(1, len(w) - 6)) AS i FROM d)),
+twice AS (SELECT r, i FROM wins QUALIFY count(*) OVER (PARTITION BY r, win) > 1),
+covered AS (SELECT r, count(DISTINCT i + k) AS n FROM twice, range(8) t(k) GROUP BY r),
+m AS (SELECT doc_id, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars,
+             length(text) - length(translate(text, '#*$%&|<>', '')) AS n_symbols,
+             coalesce(dups.n_lines, 0) AS n_lines, coalesce(n_dup, 0) AS n_dup_lines, coalesce(covered.n, 0) AS n_repeat_words
+      FROM d LEFT JOIN dups USING (r) LEFT JOIN covered USING (r)),
+b AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM m)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT base_failed AND NOT 100 * n_symbols > 10 * n_words AND NOT 100 * n_dup_lines > 50 * n_lines
+       AND NOT word_chars < 2 * n_words AND NOT word_chars > 15 * n_words AS kept
+FROM b""")
+def _(spark, folder):
+    book = quality.ledger(read(spark, folder, "documents"))
+    return book.select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+        (~quality.passes(quality.POLICIES["base"])).alias("base_failed"),
+        quality.passes(quality.POLICIES["v1"]).alias("kept"))
