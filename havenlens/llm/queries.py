@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from havenlens.llm import quality, sharding
+from havenlens.llm import langid, quality, sharding
 from havenlens.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -58,3 +58,14 @@ def _(spark, folder):
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         (~quality.passes(quality.POLICIES["base"])).alias("base_failed"),
         quality.passes(quality.POLICIES["v1"]).alias("kept"))
+
+
+#: The rows held out of learning: a quarter, by a checksum of the id.
+FOLD = "coalesce(crc32(cast(cast(doc_id AS string) AS binary)) % 4, 0)"
+
+
+@query("op6_language_id")
+def _(spark, folder):
+    docs = read(spark, folder, "documents")
+    model = langid.fit(docs, F.expr(f"{FOLD} != 2"))
+    return langid.identify(docs, model).select("doc_id", F.expr(f"{FOLD} = 2").alias("held_out"), "lang_pred", "score")
