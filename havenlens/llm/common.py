@@ -64,8 +64,6 @@ def join_keys(rows: DataFrame, keys: DataFrame, key: str, count: str, shares: in
     `count` is the number of rows of each key. Keys with more than 1/shares of all counted rows are fewer than `shares`,
     so their side has a proven bound and is broadcast; every other key is small enough for one task.
     """
-    total = F.broadcast(keys.agg((F.sum(count) / shares).alias("__share")))
-    marked = keys.crossJoin(total)  # one row beside each key
-    hot = marked.where(F.col(count) > F.col("__share")).drop("__share")
-    cold = marked.where(F.col(count) <= F.col("__share")).drop("__share")
+    share = keys.agg(F.sum(count) / shares).scalar()
+    hot, cold = keys.where(F.col(count) > share), keys.where(F.col(count) <= share)
     return rows.join(F.broadcast(hot), key).unionByName(rows.join(cold, key))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from havenlens.llm import langid, quality, sharding
+from havenlens.llm import langid, quality, sharding, simhash
 from havenlens.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -69,3 +69,9 @@ def _(spark, folder):
     docs = read(spark, folder, "documents")
     model = langid.fit(docs, F.expr(f"{FOLD} != 2"))
     return langid.identify(docs, model).select("doc_id", F.expr(f"{FOLD} = 2").alias("held_out"), "lang_pred", "score")
+
+
+@query("op3_simhash_groups")
+def _(spark, folder):
+    return simhash.near_duplicates(read(spark, folder, "documents"), shingle=3, most_bits=2).select(
+        "doc_id", "fingerprint", "component_id")
