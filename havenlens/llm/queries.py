@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from havenlens.llm import langid, quality, sharding, simhash
+from havenlens.llm import langid, linededup, quality, sharding, simhash, substring
 from havenlens.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -75,3 +75,67 @@ def _(spark, folder):
 def _(spark, folder):
     return simhash.near_duplicates(read(spark, folder, "documents"), shingle=3, most_bits=2).select(
         "doc_id", "fingerprint", "component_id")
+
+
+def _told(cut: DataFrame) -> DataFrame:
+    """The kept text, with what was removed as text, so that both engines compare plain values."""
+    return cut.select(
+        "doc_id", "text", F.size("spans").alias("n_spans"),
+        F.array_join(F.transform("spans", lambda s: F.concat_ws("-", s.getField("first"), s.getField("last"))), ",").alias("removed"),
+        F.array_join("origins", ",").alias("origins"))
+
+
+#: A line or sentence as it is compared: A-Z in lower case, runs of blanks as one space.
+NORMAL = (r"trim(regexp_replace(translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), "
+          r"'[\x20\x09-\x0D]+', ' ', 'g'), ' ')")
+#: From `tiles` (doc_id, i, first, tile) and `taken` (doc_id, first, last, origin), the kept text and what was removed.
+KEPT = """
+islands AS (SELECT doc_id, first, last, sum(fresh) OVER (PARTITION BY doc_id ORDER BY first, last ROWS UNBOUNDED PRECEDING) AS g
+            FROM (SELECT doc_id, first, last, CASE WHEN first <= max(last) OVER (PARTITION BY doc_id ORDER BY first, last
+                  ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS fresh
+                  FROM (SELECT DISTINCT doc_id, first, last FROM taken) t) t),
+spans AS (SELECT doc_id, g, min(first) AS first, max(last) AS last FROM islands GROUP BY doc_id, g),
+removed AS (SELECT doc_id, count(*) AS n_spans, string_agg(first::BIGINT || '-' || last::BIGINT, ',' ORDER BY first) AS removed
+            FROM spans GROUP BY doc_id),
+origins AS (SELECT doc_id, string_agg(origin::VARCHAR, ',' ORDER BY origin) AS origins
+            FROM (SELECT DISTINCT doc_id, origin FROM taken) t GROUP BY doc_id),
+kept AS (SELECT doc_id, string_agg(tile, '' ORDER BY i) AS text FROM tiles t
+         WHERE NOT EXISTS (SELECT 1 FROM spans s WHERE s.doc_id = t.doc_id AND s.first <= t.first AND t.first < s.last)
+         GROUP BY doc_id)
+SELECT d.doc_id, CASE WHEN d.text IS NOT NULL THEN coalesce(kept.text, '') END AS text, coalesce(n_spans, 0)::INTEGER AS n_spans,
+       coalesce(removed, '') AS removed, coalesce(origins, '') AS origins
+FROM documents d LEFT JOIN kept USING (doc_id) LEFT JOIN removed USING (doc_id) LEFT JOIN origins USING (doc_id)"""
+
+
+@query("op7_line_windows", f"""
+WITH cut AS (SELECT doc_id, string_split(text, chr(10)) AS a FROM documents WHERE text IS NOT NULL),
+lines AS (SELECT doc_id, len(a) AS n, unnest(a) AS line, generate_subscripts(a, 1) AS i FROM cut),
+parts AS (SELECT doc_id, i, line || CASE WHEN i < n THEN chr(10) ELSE '' END AS tile FROM lines),
+tiles AS (SELECT doc_id, i, tile, sum(strlen(tile)) OVER (PARTITION BY doc_id ORDER BY i) - strlen(tile) AS first, {NORMAL.format('tile')} AS norm
+          FROM parts),
+windows AS (SELECT doc_id, i, first, lead(first + strlen(tile), 2) OVER w AS last,
+                   norm || chr(10) || lead(norm) OVER w || chr(10) || lead(norm, 2) OVER w AS win
+            FROM tiles WHERE norm <> '' WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+taken AS (SELECT doc_id, first, last, origin FROM (
+            SELECT *, first_value(doc_id) OVER v AS origin, row_number() OVER v AS nth FROM windows WHERE last IS NOT NULL
+            WINDOW v AS (PARTITION BY win ORDER BY doc_id, i)) t WHERE nth > 1),
+{KEPT}""")
+def _(spark, folder):
+    return _told(linededup.without_repeated_lines(read(spark, folder, "documents")))
+
+
+@query("op8_repeated_passages", rf"""
+WITH cut AS (SELECT doc_id, string_split(regexp_replace(text, '([.!?]+[ \t]+|\n+)', '\1' || chr(31), 'g'), chr(31)) AS a
+             FROM documents WHERE text IS NOT NULL),
+parts AS (SELECT doc_id, unnest(a) AS tile, generate_subscripts(a, 1) AS i FROM cut),
+tiles AS (SELECT doc_id, i, tile, sum(strlen(tile)) OVER (PARTITION BY doc_id ORDER BY i) - strlen(tile) AS first, {NORMAL.format('tile')} AS norm
+          FROM parts),
+units AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS place, first, first + strlen(tile) AS last, norm,
+                 len(string_split(norm, ' ')) AS words FROM tiles WHERE norm <> ''),
+later AS (SELECT * FROM (SELECT *, first_value(doc_id) OVER v AS origin, row_number() OVER v AS nth FROM units
+                         WINDOW v AS (PARTITION BY norm ORDER BY doc_id, place)) t WHERE nth > 1),
+runs AS (SELECT *, place - row_number() OVER (PARTITION BY doc_id ORDER BY place) AS run FROM later),
+taken AS (SELECT doc_id, first, last, origin FROM runs QUALIFY sum(words) OVER (PARTITION BY doc_id, run) >= 10),
+{KEPT}""")
+def _(spark, folder):
+    return _told(substring.without_repeated_passages(read(spark, folder, "documents")))
