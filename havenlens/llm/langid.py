@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from havenlens.llm.common import slices, texts, with_row
+from havenlens.llm.common import slices, texts
 
 UNKNOWN = "und"
 #: Languages by family. One that is not listed is a family of its own.
@@ -133,8 +133,8 @@ def fit(docs: DataFrame, may_learn: Column, id_col: str = "doc_id", text_col: st
     """
     chosen = (
         docs.where(may_learn & F.col(lang_col).isNotNull())
-        .select(F.col(id_col).alias("doc_id"), F.col(lang_col).alias("lang"))
-        .withColumn("nth", F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")))
+        .select(F.col(id_col).alias("doc_id"), F.col(lang_col).alias("lang"), F.xxhash64(F.col(id_col)).alias("hash"))
+        .withColumn("nth", F.row_number().over(Window.partitionBy("lang").orderBy("hash", "doc_id")))
         .where(F.col("nth") <= per_language).select("doc_id").distinct())
     sample = (
         docs.where(may_learn & F.col(lang_col).isNotNull())
@@ -166,7 +166,7 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
 
 def keep_known(docs: DataFrame, model: Model, least_score: float = 0.0, text_col: str = "text") -> DataFrame:
     """The rows, with all their columns, whose text is in a language that the model knows with at least that score."""
-    rows = with_row(docs, text_col, docs.columns[0]).select("row", "text")
+    rows = docs.select(F.struct(*[docs[f"`{c}`"].alias(c) for c in docs.columns]).alias("row"), docs[text_col].alias("text"))
     told = rows.mapInArrow(
         _predictor(model, ["row"]), f"row {rows.schema['row'].dataType.simpleString()}, lang_pred string, score double")
     return told.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least_score)).select("row.*")

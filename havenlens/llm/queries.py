@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from havenlens.llm import langid, linededup, quality, sharding, simhash, substring
+from havenlens.llm import bpe, langid, linededup, packing, quality, sharding, simhash, substring
 from havenlens.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -139,3 +140,24 @@ taken AS (SELECT doc_id, first, last, origin FROM runs QUALIFY sum(words) OVER (
 {KEPT}""")
 def _(spark, folder):
     return _told(substring.without_repeated_passages(read(spark, folder, "documents")))
+
+
+@query("op1_byte_bpe")
+def _(spark, folder):
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    encoded = bpe.encode(read(spark, folder, "documents"), path, public_tokenizers.PATTERN)
+    return bpe.decode(encoded, path).select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " ").cast("binary"), 256).alias("ids_sha256"),
+        F.sha2("content", 256).alias("decoded_sha256"))
+
+
+@query("op5_tiered_packing")
+def _(spark, folder):
+    pieces = packing.pack(read(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return packed(pieces)
+
+
+def packed(pieces: DataFrame) -> DataFrame:
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset",
+                         "window", "step_group")
