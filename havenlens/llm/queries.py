@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from havenlens.llm import bpe, langid, linededup, packing, quality, sharding, simhash, substring, warc
+from havenlens.llm import ann, bpe, langid, linededup, packing, quality, sharding, simhash, substring, warc
 from havenlens.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -174,3 +174,8 @@ def _(spark, folder):
     return warc.round_trip(read(spark, folder, "pages")).where(F.col("reason").isNull()).select(
         warc.page_number("record_id").alias("page_id"), "payload_bytes", "payload_digest", F.col("type").alias("record_type"),
         warc.page_number("refers_to").alias("refers_to"))
+
+
+@query("op10_cross_polytope")
+def _(spark, folder):
+    return ann.search(read(spark, folder, "embeddings"), "vec_id % 20 = 0", k=20)
