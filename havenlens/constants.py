@@ -141,8 +141,7 @@ INTENT_WORDS = {
 }
 QUERYABLE_TABLES = ("next_best_actions", "customer_360", "interaction_insights", "policies", "action_status",
                     "action_uptake", "action_uptake_by_category", "churn_risk")
-FORBIDDEN_WORDS = ("insert", "update", "delete", "merge", "drop", "alter", "create", "grant", "truncate",
-                   "call", "put", "copy")
+SCHEMAS = ("app", "curated")
 
 
 @dataclass(frozen=True)

@@ -14,6 +14,7 @@ from havenlens.functions.numeric import fixed, ratio
 from havenlens.functions.rules import fill, first_match
 from havenlens.functions.times import moment
 from havenlens.operators.customer360 import since
+from havenlens.operators.insights import interaction_insights
 
 GENERATED_BY = "rule engine"
 RESPONSE = T.StructType([
@@ -138,10 +139,24 @@ def enrichment_queue(risk: DataFrame, done: DataFrame, per_run: int = 50, cap: i
     return wanted.withColumn("queue_no", nth).where(F.col("queue_no") <= F.lit(cap) - used)
 
 
-def grounding_context(nba: DataFrame, c360: DataFrame, insights: DataFrame) -> DataFrame:
-    """One text per customer for a writer to work from: profile, signals, drivers and the cited calls."""
-    cited = evidence_rows(nba).join(
-        insights.select("transcript_id", "call_ts", "primary_intent", "sentiment_score", "summary"), "transcript_id")
+def cited_calls_in_words(nba: DataFrame, transcripts: DataFrame, as_of: dt.date, wording: K.Wording = K.DEFAULT_WORDING,
+                         days: int | None = 180) -> DataFrame:
+    """(customer_id, position, transcript_id, call_ts, primary_intent, sentiment_score, summary) of the calls cited.
+
+    Only calls that are cited are summarised: the raw calls of the last `days` days (None: all, for evidence that a model
+    chose) are cut down to the cited ids before any text is read.
+    """
+    cited = evidence_rows(nba)
+    calls = since(transcripts, as_of, days) if days else transcripts
+    wanted = calls.join(cited.select("transcript_id").distinct(), "transcript_id", "left_semi")
+    told = interaction_insights(wanted, wording).select(
+        "transcript_id", "call_ts", "primary_intent", "sentiment_score", "summary")
+    return cited.join(told, "transcript_id").select(
+        "customer_id", "position", "transcript_id", "call_ts", "primary_intent", "sentiment_score", "summary")
+
+
+def grounding_context(nba: DataFrame, c360: DataFrame, cited: DataFrame) -> DataFrame:
+    """One text per customer for a writer to work from: profile, signals, drivers and the cited calls in words."""
     call_line = F.concat_ws(
         " | ", "transcript_id", F.date_format("call_ts", "yyyy-MM-dd"), "primary_intent", fixed(
             F.col("sentiment_score"), 2), "summary")
@@ -181,13 +196,16 @@ def apply_model_response(nba: DataFrame, responses: DataFrame, insights: DataFra
                          generated_by: str = "model") -> DataFrame:
     """Overlay written answers on the rule-engine rows.
 
-    `responses` holds (customer_id, response). The outermost braces are read as JSON; an answer that does not parse
-    leaves the row as it was. Cited ids must be calls of that same customer; the others are removed.
+    `responses` holds (customer_id, response) and, if answers can repeat, responded_at. The outermost braces are read as
+    JSON; an answer that does not parse leaves the row as it was. Of several that do, the latest counts, and of those at
+    one time the largest text, so a customer keeps one row. Cited ids must be calls of that same customer; the others are
+    removed.
     """
-    parsed = responses.select("customer_id", F.from_json(
-        F.regexp_extract("response", r"(?s)\{.*\}", 0), RESPONSE).alias("r"))
+    parsed = responses.withColumn("r", F.from_json(F.regexp_extract("response", r"(?s)\{.*\}", 0), RESPONSE))
     parsed = parsed.where(F.coalesce("r.action", "r.reason", "r.customer_message", "r.channel").isNotNull()
                           | F.col("r.evidence").isNotNull())
+    order = [c for c in ("responded_at", "response") if c in responses.columns]
+    parsed = parsed.groupBy("customer_id").agg(F.max_by("r", F.struct(*order)).alias("r"))
     claimed = parsed.select("customer_id", F.posexplode("r.evidence").alias("position", "transcript_id"))
     owned = (claimed.join(insights.select("customer_id", "transcript_id"), ["customer_id", "transcript_id"], "left_semi")
              .groupBy("customer_id").agg(F.sort_array(F.collect_list(F.struct("position", "transcript_id")))

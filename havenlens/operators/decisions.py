@@ -30,8 +30,10 @@ def log_entries(decisions: DataFrame, log: DataFrame, agent: str | None = None,
 
 def append_action_log(decisions: DataFrame, path: str, agent: str | None = None,
                       now: dt.datetime | None = None) -> None:
-    """Append decisions to the log at `path`. One writer at a time."""
-    log = decisions.sparkSession.read.schema(schemas.ACTION_LOG).parquet(path)
+    """Append decisions to the log at `path`, which the first ones start. One writer at a time."""
+    spark = decisions.sparkSession
+    spark.createDataFrame([], schemas.ACTION_LOG).write.mode("ignore").parquet(path)
+    log = spark.read.schema(schemas.ACTION_LOG).parquet(path)
     log_entries(decisions, log, agent, now).write.mode("append").parquet(path)
 
 

@@ -34,15 +34,6 @@ def with_customer_text(transcripts: DataFrame) -> DataFrame:
             .withColumn("lowered", F.lower("customer_text")))
 
 
-def call_signals(transcripts: DataFrame) -> DataFrame:
-    """Sentiment and intent only: the narrow per-call facts that the 360 and the evidence need. No shuffle."""
-    lowered = F.col("lowered")
-    return (with_customer_text(transcripts)
-            .select("transcript_id", "customer_id", "call_ts", tx.sentiment_score(lowered).alias("sentiment_score"),
-                    tx.primary_intent(lowered).alias("primary_intent"))
-            .withColumn("sentiment_label", tx.sentiment_label(F.col("sentiment_score"))))
-
-
 def entities(transcripts: DataFrame, wording: K.Wording = K.DEFAULT_WORDING) -> DataFrame:
     said = with_customer_text(transcripts)
     found = tx.extract_entities(F.col("transcript_text"), F.col("customer_text"), wording)

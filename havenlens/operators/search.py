@@ -4,13 +4,13 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator, Mapping, Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 from functools import reduce
 from operator import and_, or_
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,7 +18,10 @@ from havenlens.functions.numeric import fixed
 
 K1, B = 1.2, 0.75
 FUSION = 60
-MAX_QUERY_VECTORS = 4096
+#: Candidates of one query are ranked in this many parts first, so that no task gets all of them whatever k is.
+PARTS = 64
+#: Vectors and query vectors that one task multiplies at a time.
+VECTOR_ROWS, QUERY_ROWS = 16_384, 2_048
 
 
 @dataclass(frozen=True)
@@ -116,9 +119,13 @@ def keyword_search(corpus: DataFrame, queries: Sequence[SearchQuery], k: int = 5
 
 
 def _ranked(hits: DataFrame, keys: Sequence[str], id_column: str, k: int) -> DataFrame:
-    """Top k by score; the limit is applied within map tasks before rows are exchanged."""
-    best = Window.partitionBy(*keys).orderBy(F.desc(F.round("score", 9)), id_column)
-    return hits.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    """Top k by score: first of each of some parts of a query's hits, by a hash of the id, then of what these leave."""
+    def best(*by) -> Column:
+        return F.row_number().over(Window.partitionBy(*by).orderBy(F.desc(F.round("score", 9)), id_column))
+
+    part = F.pmod(F.xxhash64(id_column), F.lit(PARTS)).cast("int")
+    some = hits.withColumn("part", part).withColumn("rank", best(*keys, "part")).where(F.col("rank") <= k).drop("part", "rank")
+    return some.withColumn("rank", best(*keys)).where(F.col("rank") <= k)
 
 
 def customer_evidence_search(corpus: DataFrame, query: SearchQuery, k: int = 3) -> DataFrame:
@@ -137,53 +144,68 @@ def cohort_with_evidence(cohort: DataFrame, corpus: DataFrame, query: SearchQuer
         F.coalesce(F.array_join(ids, " "), F.lit("")).alias("citations"))
 
 
-def _cosine(a: Column, b: Column) -> Column:
-    def dot(x: Column, y: Column) -> Column:
-        products = F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double"))
-        return F.aggregate(products, F.lit(0.0), lambda total, p: total + p)
-
-    return dot(a, b) / F.nullif(F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)), F.lit(0.0))
-
-
 def vector_search(vectors: DataFrame, queries: DataFrame, k: int = 5, on: Sequence[str] = (),
-                  id_column: str = "vec_id", vector_column: str = "embedding") -> DataFrame:
+                  id_column: str = "vec_id", vector_column: str = "embedding", vector_rows: int = VECTOR_ROWS,
+                  query_rows: int = QUERY_ROWS) -> DataFrame:
     """Exact cosine top k per query. `queries` holds (query_id, query_vector) and the filter columns in `on`.
 
-    With filter columns this is an equi-join on them. Without, each Arrow batch is multiplied with all query vectors
-    at once and keeps only its own top k per query, so pairs are never written out.
+    Both sides stay tables, dealt by a hash of the id into blocks of about `vector_rows` and `query_rows`. Every block of
+    vectors meets every block of queries, with equal filter columns, in a task of its own, which multiplies them and
+    keeps the k best of each query; so memory is set by the blocks, pairs are never written out and nothing is collected.
+    Null and zero vectors match nothing.
     """
-    if on:
-        scored = vectors.join(queries, list(on)).select(
-            "query_id", id_column, _cosine(F.col(vector_column), F.col("query_vector")).alias("score"))
-        return _ranked(scored.where(F.col("score").isNotNull()), ["query_id"], id_column, k)
-    rows = queries.select("query_id", "query_vector").orderBy("query_id").limit(MAX_QUERY_VECTORS + 1).collect()
-    if len(rows) > MAX_QUERY_VECTORS:
-        raise ValueError(f"at most {MAX_QUERY_VECTORS} unfiltered query vectors per call; search in batches or use `on`")
-    ids = [row["query_id"] for row in rows]
-    matrix = np.array([row["query_vector"] for row in rows], dtype="float64")
-    matrix /= np.linalg.norm(matrix, axis=1, keepdims=True)
-
-    def best_of_batch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            data = np.array(batch[vector_column].tolist(), dtype="float64")
-            if not len(data):
-                continue
-            with np.errstate(invalid="ignore", divide="ignore"):
-                scores = (data / np.linalg.norm(data, axis=1, keepdims=True)) @ matrix.T
-            own = batch[id_column].to_numpy()
-            for j, query_id in enumerate(ids):
-                column = scores[:, j]
-                kept = np.flatnonzero(~np.isnan(column))
-                kept = kept[np.lexsort((own[kept], -np.round(column[kept], 9)))[:k]]
-                yield pd.DataFrame({"query_id": query_id, id_column: own[kept], "score": column[kept]})
-
-    types = {f.name: f.dataType.simpleString() for f in (*vectors.schema.fields, *queries.schema.fields)}
-    schema = f"query_id {types['query_id']}, {id_column} {types[id_column]}, score double"
-    scored = vectors.where(F.col(vector_column).isNotNull()).select(id_column, vector_column).mapInPandas(
-        best_of_batch, schema)
+    used = vectors.select(id_column, vector_column, *on).where(F.col(vector_column).isNotNull())
+    asked = queries.select("query_id", "query_vector", *on).where(F.col("query_vector").isNotNull())
+
+    def blocks(rows: DataFrame, size: int) -> Column:
+        return F.ceil(F.greatest(rows.select(F.count("*")).scalar(), F.lit(1)) / size).cast("int")
+
+    def own(column: str, name: str) -> Column:
+        return F.pmod(F.xxhash64(column), F.col(name)).cast("int")
+
+    v, q = blocks(used, vector_rows), blocks(asked, query_rows)
+    left = used.withColumns({"v_blocks": v, "q_blocks": q}).withColumn("v", own(id_column, "v_blocks")).withColumn(
+        "q", F.explode(F.sequence(F.lit(0), F.col("q_blocks") - 1))).drop("v_blocks", "q_blocks")
+    right = asked.withColumns({"v_blocks": v, "q_blocks": q}).withColumn("q", own("query_id", "q_blocks")).withColumn(
+        "v", F.explode(F.sequence(F.lit(0), F.col("v_blocks") - 1))).drop("v_blocks", "q_blocks")
+    types = {f.name: f.dataType.simpleString() for f in (*used.schema.fields, *asked.schema.fields)}
+    keys = [*on, "v", "q"]
+    scored = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(
+        _best_of_block(k, id_column, vector_column),
+        f"query_id {types['query_id']}, {id_column} {types[id_column]}, score double")
     return _ranked(scored, ["query_id"], id_column, k)
 
 
+def _best_of_block(k: int, id_column: str, vector_column: str):
+    def unit(column: pa.ChunkedArray) -> np.ndarray:
+        data = np.array(column.to_pylist(), dtype="float64")
+        with np.errstate(invalid="ignore", divide="ignore"):
+            return data / np.linalg.norm(data, axis=1, keepdims=True)
+
+    def best(vectors: pa.Table, queries: pa.Table) -> pa.Table:
+        found: tuple[list, list, list] = ([], [], [])
+        if vectors.num_rows and queries.num_rows:
+            data, asked = unit(vectors[vector_column]), unit(queries["query_vector"])
+            known = ~np.isnan(data).any(axis=1)
+            data, ids = data[known], np.array(vectors[id_column].to_pylist())[known]
+            for start in range(0, len(asked), 256):
+                scores = asked[start:start + 256] @ data.T
+                for row, query_id in zip(scores, queries["query_id"][start:start + 256].to_pylist()):
+                    if np.isnan(row).any() or not len(row):
+                        continue
+                    if len(row) > k:  # all that tie with the k-th after rounding, then in order of score and id
+                        places = np.flatnonzero(np.round(row, 9) >= np.round(np.partition(row, -k)[-k], 9))
+                    else:
+                        places = np.arange(len(row))
+                    places = places[np.lexsort((ids[places], -np.round(row[places], 9)))[:k]]
+                    for kept, values in zip(found, ([query_id] * len(places), ids[places].tolist(), row[places].tolist())):
+                        kept += values
+        kinds = (queries.schema.field("query_id").type, vectors.schema.field(id_column).type, pa.float64())
+        return pa.table([pa.array(v, kind) for v, kind in zip(found, kinds)], ["query_id", id_column, "score"])
+
+    return best
+
+
 def hybrid_search(keyword: DataFrame, vector: DataFrame, k: int = 5, id_column: str = "doc_id") -> DataFrame:
     """Reciprocal-rank fusion of two ranked lists: one grouping over a few rows per query."""
     lists = keyword.select("query_id", id_column, "rank").unionByName(vector.select("query_id", id_column, "rank"))

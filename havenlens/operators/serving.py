@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from havenlens import constants as K
 from havenlens.functions import churn
 from havenlens.functions.numeric import fixed, inr_label
-from havenlens.operators.actions import evidence_rows
+from havenlens.operators.actions import cited_calls_in_words
 
 
 def _only(df: DataFrame, ids: list[str] | None) -> DataFrame:
@@ -107,11 +109,9 @@ def source_health(c360: DataFrame, policies: DataFrame, claims: DataFrame, payme
     return wide.select("customer_id", F.inline(nodes))
 
 
-def evidence_detail(nba: DataFrame, insights: DataFrame) -> DataFrame:
+def evidence_detail(nba: DataFrame, transcripts: DataFrame, as_of: dt.date, wording: K.Wording = K.DEFAULT_WORDING) -> DataFrame:
     """Each cited call with what it was about."""
-    return evidence_rows(nba).join(
-        insights.select("transcript_id", "call_ts", "primary_intent", "sentiment_score", "summary"), "transcript_id"
-    ).select("customer_id", "position", "transcript_id", "call_ts", "primary_intent", "sentiment_score", "summary")
+    return cited_calls_in_words(nba, transcripts, as_of, wording)
 
 
 def recent_payments(payments: DataFrame, n: int = 12, ids: list[str] | None = None) -> DataFrame:

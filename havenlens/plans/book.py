@@ -8,6 +8,7 @@ from dataclasses import dataclass
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
 from havenlens import constants as K
 from havenlens.operators import actions, customer360, decisions, insights, risk
@@ -57,8 +58,12 @@ class Book:
 
     @property
     def queryable(self) -> dict[str, DataFrame]:
-        return {"next_best_actions": self.nba, "customer_360": self.c360, "churn_risk": self.risk,
-                "interaction_insights": self.insights, "policies": self.policies}
+        tables = {"next_best_actions": self.nba, "customer_360": self.c360, "churn_risk": self.risk,
+                  "interaction_insights": self.insights, "policies": self.policies}
+        if self.action_log is not None:
+            tables |= {"action_status": self.status, "action_uptake": decisions.action_uptake(self.status),
+                       "action_uptake_by_category": decisions.action_uptake_by_category(self.status)}
+        return tables
 
 
 STAGES = ("interaction_insights", "customer_360", "churn_risk", "next_best_actions")
@@ -67,16 +72,16 @@ STAGES = ("interaction_insights", "customer_360", "churn_risk", "next_best_actio
 def run_stages(spark: SparkSession, book: Book, folder: str) -> dict[str, DataFrame]:
     """Write the four stages in order, each reading the one before from its table.
 
-    The text is read and scored once, by tasks that shuffle nothing, and a lost executor costs at most the stage that
-    was running.
+    Calls are read and scored once in their life: insights lie by month, and a later run into the same folder appends
+    those of new calls only. What looks back 180 days reads the months concerned, and of them the columns it needs. A lost
+    executor costs at most the stage that was running.
     """
     def stage(name: str, df: DataFrame) -> DataFrame:
         path = f"{folder.rstrip('/')}/{name}"
         io.write_table(df, path)
         return spark.read.parquet(path)
 
-    stored = {}
-    stored["interaction_insights"] = stage("interaction_insights", book.insights)
+    stored = {"interaction_insights": append_insights(spark, book, f"{folder.rstrip('/')}/interaction_insights")}
     stored["customer_360"] = stage("customer_360", customer360.customer_360(
         book.customers, book.policies, book.claims, book.payments, book.call_transcripts,
         stored["interaction_insights"], book.as_of))
@@ -86,6 +91,16 @@ def run_stages(spark: SparkSession, book: Book, folder: str) -> dict[str, DataFr
     return stored
 
 
+def append_insights(spark: SparkSession, book: Book, path: str) -> DataFrame:
+    """The insights table at `path`, by month, after the insights of calls that it did not hold were added."""
+    io.create_empty(spark, book.insights, path)
+    known = spark.read.schema("transcript_id string").parquet(path)
+    new = book.call_transcripts.select("transcript_id").join(known, "transcript_id", "left_anti")
+    fresh = book.call_transcripts.join(new, "transcript_id", "left_semi")
+    io.write_table(insights.interaction_insights(fresh, book.wording, book.stamped_at), path, "call_ts", "append")
+    return spark.read.schema(T.StructType([*book.insights.schema.fields, T.StructField("month", T.StringType())])).parquet(path)
+
+
 def book_from_tables(tables: Mapping[str, DataFrame], as_of: dt.date, **settings) -> Book:
     return Book(tables["customers"], tables["policies"], tables["claims"], tables["payments"],
                 tables["call_transcripts"], as_of, labels=tables.get("eval_transcript_labels"), **settings)

@@ -107,6 +107,10 @@ REFERENCES = {
     "payments_policy": ("payments", "policy_id", "policies", "policy_id"),
     "calls_customer": ("call_transcripts", "customer_id", "customers", "customer_id"),
     "calls_policy": ("call_transcripts", "policy_id", "policies", "policy_id"),
+    "claims_customer": ("claims", "customer_id", "customers", "customer_id"),
+    "payments_customer": ("payments", "customer_id", "customers", "customer_id"),
+    "nba_c360": ("nba", "customer_id", "c360", "customer_id"),
+    "insights_c360": ("insights", "customer_id", "c360", "customer_id"),
 }
 
 
@@ -133,13 +137,31 @@ def _(c):
     return io.read_raw_csv(c.spark, path, schemas.CALL_TRANSCRIPTS, multiline=True)
 
 
-@query("parquet_tables", "SELECT table_name, n FROM (SELECT 'interaction_insights' AS table_name, count(*) AS n "
-       "FROM insights UNION ALL SELECT 'payments', count(*) FROM payments) t")
+def _digest_sql(table: str) -> str:
+    """Rows, distinct keys and a sum of one number of a table: small and different if a value is lost."""
+    key, number = DIGESTED[table]
+    return (f"SELECT '{table}' AS table_name, count(*) AS n_rows, count(DISTINCT {key}) AS n_keys, "
+            f"CAST(sum(CAST({number} AS DECIMAL(20, 4))) AS DOUBLE) AS total, min({key}) AS least, max({key}) AS most FROM {table}")
+
+
+DIGESTED = {"customers": ("customer_id", "tenure_years"), "policies": ("policy_id", "annual_premium"),
+            "claims": ("claim_id", "claim_amount"), "payments": ("payment_id", "amount_due"),
+            "call_transcripts": ("transcript_id", "length(transcript_text)"), "insights": ("transcript_id", "length(summary)")}
+
+
+@query("parquet_tables", " UNION ALL ".join(map(_digest_sql, DIGESTED)))
 def _(c):
+    """All six tables after a trip through Parquet."""
     folder = c.scratch("tables")
-    io.write_parquet_tables({"interaction_insights": c.book.insights, "payments": c.book.payments}, folder)
-    stored = io.read_parquet_tables(c.spark, folder, ["interaction_insights", "payments"])
-    return io.load_row_counts(stored).withColumnRenamed("n_rows", "n")
+    tables = {name: getattr(c.book, name) for name in COUNTED} | {"interaction_insights": c.book.insights}
+    io.write_parquet_tables(tables, folder)
+    read = io.read_parquet_tables(c.spark, folder, list(tables))
+    parts = [c.spark.sql(_digest_sql(name).replace(f"FROM {name}", "FROM {t}"), t=read["interaction_insights" if name == "insights" else name])
+             for name in DIGESTED]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
 
 
 @query("normalise_types", "SELECT customer_id, CAST(next_renewal_date AS TIMESTAMP) AS next_renewal_date, "
@@ -174,17 +196,22 @@ def _(c):
     return io.run_meta(insights.intent_accuracy(c.book.insights, c.book.labels), AS_OF, generated_at=STAMP)
 
 
-@query("append_action_log", "SELECT count(*) AS n_rows, count(*) AS n_ids, true AS new_ids_above FROM "
-       "(SELECT customer_id FROM action_log UNION ALL SELECT customer_id FROM status) t")
+LOG_VALUES = "customer_id, action_category, action, status, agent, ts, note"
+
+
+@query("append_action_log", f"""SELECT round, {LOG_VALUES}, true AS id_is_new FROM (
+ SELECT * REPLACE (coalesce(agent, 'desk') AS agent, coalesce(ts, TIMESTAMP '2001-11-05 06:00:00') AS ts), unnest([1, 2]) AS round
+ FROM status) s""")
 def _(c):
+    """The log that two appends make from nothing, by value; the second one's ids lie above the first one's."""
     path = c.scratch("log")
-    c.book.action_log.write.parquet(path)
-    before = c.spark.read.parquet(path).agg(F.max("log_id").alias("last"))
-    last = before.collect()[0]["last"]
-    decisions.append_action_log(c.book.status, path, agent="agent", now=STAMP)
-    log = c.spark.read.parquet(path)
-    return log.agg(F.count("*").alias("n_rows"), F.count_distinct("log_id").alias("n_ids"),
-                   (F.max("log_id") > last).alias("new_ids_above"))
+    decisions.append_action_log(c.book.status, path, agent="desk", now=STAMP)
+    first = c.spark.read.parquet(path).select("log_id").withColumn("round", F.lit(1))
+    first = io.snapshot_360(first, c.scratch("first"))
+    decisions.append_action_log(c.book.status, path, agent="desk", now=STAMP)
+    log = c.spark.read.parquet(path).join(first, "log_id", "left").withColumn("round", F.coalesce("round", F.lit(2)))
+    top = first.agg(F.max("log_id")).scalar()
+    return log.select("round", *LOG_VALUES.split(", "), ((F.col("round") == 1) | (F.col("log_id") > top)).alias("id_is_new"))
 
 
 # --- transcript text -----------------------------------------------------------------------------
@@ -461,7 +488,8 @@ def _(c):
   FROM evidence e JOIN (SELECT transcript_id, call_ts, primary_intent, sentiment_score, summary FROM insights) i
   USING (transcript_id) GROUP BY e.customer_id) k USING (customer_id)""")
 def _(c):
-    return actions.grounding_context(c.book.nba, c.book.c360, c.book.insights)
+    return actions.grounding_context(c.book.nba, c.book.c360, actions.cited_calls_in_words(
+        c.book.nba, c.book.call_transcripts, AS_OF, WORDING))
 
 
 @query("apply_model_response", """SELECT customer_id, action_category,
@@ -481,10 +509,18 @@ def _(c):
         "customer_id", "action_category", "action", "reason", "evidence", "customer_message", "channel", "generated_by")
 
 
-@query("rule_vs_final", "SELECT generated_by, count(*) AS n_actions, count(*) AS n_agree, 1::DOUBLE AS agreement "
-       "FROM nba GROUP BY generated_by")
+@query("rule_vs_final", f"""SELECT generated_by, count(*) AS n_actions,
+ count(*) FILTER (agrees) AS n_agree, {r('count(*) FILTER (agrees) / count(*)', 4)} AS agreement FROM (
+ SELECT CASE WHEN risk_band = 'High' THEN 'model' ELSE generated_by END AS generated_by,
+  risk_band <> 'High' OR rule_category = CASE WHEN segment = 'BUILDING' THEN 'RETENTION_CALL' ELSE 'NURTURE' END AS agrees
+ FROM nba) t GROUP BY generated_by""")
 def _(c):
-    return actions.rule_vs_final(c.book.nba)
+    """After answers that name a category of their own for the High band."""
+    named = F.when(F.col("segment") == "BUILDING", "RETENTION_CALL").otherwise("NURTURE")
+    answers = c.book.nba.where("risk_band = 'High'").select("customer_id", F.concat(
+        F.lit('{"action": "Call", "action_category": "'), named, F.lit('"}')).alias("response"))
+    final = actions.rule_vs_final(actions.apply_model_response(c.book.nba, answers, c.book.insights))
+    return final.withColumn("agreement", F.rint(F.col("agreement") * 1e4) / 1e4)
 
 
 # --- customer-level views ------------------------------------------------------------------------
@@ -568,7 +604,7 @@ def _(c):
 @query("evidence_detail", """SELECT e.customer_id, CAST(nth - 1 AS INT) AS position, e.transcript_id, call_ts,
  primary_intent, sentiment_score, summary FROM evidence e JOIN insights USING (transcript_id)""")
 def _(c):
-    return serving.evidence_detail(c.book.nba, c.book.insights)
+    return serving.evidence_detail(c.book.nba, c.book.call_transcripts, AS_OF, WORDING)
 
 
 @query("recent_payments", """SELECT payment_id, customer_id, due_date, amount_due, payment_status, days_late,
@@ -742,9 +778,9 @@ ASK_PERSON = "What should I do for Customer#000000012?"
 
 
 def _policy_table(policies: str, condition: str) -> str:
-    return f"""SELECT customer_id, full_name, city, segment, risk_score, risk_band, 0 AS page, policy_ids, renewal_date,
- total_annual_premium, coalesce(top_three, '') AS top_drivers, action FROM nba
- JOIN (SELECT customer_id, string_agg(policy_id, ', ' ORDER BY renewal_date, policy_id) AS policy_ids,
+    return f"""SELECT customer_id, full_name, city, segment, risk_score, risk_band, n_policies, renewal_date,
+ policy_premium, total_annual_premium, coalesce(top_three, '') AS top_drivers, action FROM nba
+ JOIN (SELECT customer_id, count(*) AS n_policies, CAST(sum(annual_premium) AS BIGINT) AS policy_premium,
  min(renewal_date) AS renewal_date FROM {policies} GROUP BY customer_id) p USING (customer_id)
  LEFT JOIN top_text USING (customer_id) WHERE {condition}"""
 
@@ -798,8 +834,7 @@ def _(c):
     return ask.ask_policy_window(c.book.policies, spec.products, spec.window)
 
 
-@query("ask_policy_list", """SELECT customer_id, 0 AS page, string_agg(policy_id, ', ' ORDER BY renewal_date, policy_id)
- AS policy_ids FROM policies WHERE status <> 'Lapsed' GROUP BY customer_id""")
+@query("ask_policy_list", "SELECT customer_id, renewal_date, policy_id FROM policies WHERE status <> 'Lapsed'")
 def _(c):
     return ask.ask_policy_list(c.book.policies)
 
@@ -871,7 +906,7 @@ def _(c):
 
 @query("ask_table", _plain_table("risk_band = 'High'"))
 def _(c):
-    return ask.ask_table(ask.CohortSpec(), ask.ask_risk_filter(c.book.nba, ["High"]), c.book.policies)
+    return ask.ask_table(ask.CohortSpec(), ask.ask_risk_filter(c.book.nba, ["High"]))
 
 
 @query("governed_select", """SELECT segment, risk_band, count(*) AS n, CAST(sum(total_annual_premium) AS BIGINT) AS premium
@@ -883,6 +918,28 @@ def _(c):
         lambda session: make_book(session, c.folder).queryable)
 
 
+@query("governed_select_log", """SELECT segment, status, count(*) AS n, max(a.note) AS note FROM status a
+ JOIN nba USING (customer_id) GROUP BY segment, status""")
+def _(c):
+    return ask.governed_select(
+        c.spark, "SELECT segment, status, count(*) AS n, max(a.note) AS note FROM app.action_status a "
+        "JOIN app.next_best_actions USING (customer_id) GROUP BY segment, status",
+        lambda session: make_book(session, c.folder).queryable, rows=1000)
+
+
+@query("ask_policies", f"""SELECT customer_id, renewal_date, policy_id FROM {HEALTH_RENEWALS}
+ WHERE customer_id IN (SELECT customer_id FROM nba WHERE risk_band = 'High')""")
+def _(c):
+    return answer(c, ASK_HEALTH).policies
+
+
+@query("ask_filters", """SELECT 'renewing 2001-12-01 to 2001-12-31; product: Health; risk: High' AS filters, count(*) AS n_customers
+ FROM nba WHERE risk_band = 'High' AND customer_id IN (SELECT customer_id FROM """ + HEALTH_RENEWALS + ")")
+def _(c):
+    told = answer(c, ASK_HEALTH)
+    return told.totals.select(F.lit("; ".join(told.spec.filters)).alias("filters"), "n_customers")
+
+
 # --- search --------------------------------------------------------------------------------------
 CALL_SEARCHES = (
     search.SearchQuery("stuck_claim", "hospital discharge summary submitted twice, claim still pending",
@@ -1137,15 +1194,16 @@ def _(c):
     return semantic.semantic_dimensions(c.book.logical_tables, names)
 
 
-def _facts(table: str, source: str) -> None:
-    facts = {n: f[1] for n, f in semantic.FACTS.items() if f[0] == table}
-    key = semantic.KEYS[table]
-    query(f"semantic_facts_{table}", f"SELECT {key}, " + ", ".join(f"{e} AS {n}" for n, e in facts.items())
-          + f" FROM {source}")(lambda c: semantic.semantic_facts(c.book.logical_tables, table))
-
-
-for _table, _source in (("c360", "c360"), ("nba", "nba"), ("ins", "insights")):
-    _facts(_table, _source)
+FACTS_SQL = {
+    "c360": """SELECT customer_id, total_annual_premium AS annual_premium_inr, total_sum_insured AS sum_insured_inr,
+ next_renewal_premium AS renewal_premium_inr, avg_days_to_settle AS settlement_days, n_claims AS claims_count,
+ n_open_claims AS open_claims_count, n_late_12m AS late_payments_12m, n_missed_12m AS missed_payments_12m FROM c360""",
+    "nba": """SELECT customer_id, risk_score AS risk_points, premium_at_risk AS premium_at_risk_inr,
+ expected_premium_loss AS expected_loss_inr FROM nba""",
+    "ins": "SELECT transcript_id, sentiment_score AS sentiment FROM insights",
+}
+for _table, _sql in FACTS_SQL.items():
+    query(f"semantic_facts_{_table}", _sql)(lambda c, table=_table: semantic.semantic_facts(c.book.logical_tables, table))
 
 
 @query("semantic_synonyms", """SELECT word, kind, logical_table, name, count(*) AS n_calls FROM insights

@@ -16,7 +16,7 @@ from havenlens.functions.times import moment
 DATE_COLUMNS = ("customer_since", "next_renewal_date", "start_date", "renewal_date", "claim_date", "settled_date",
                 "due_date", "paid_date", "call_ts", "last_call_ts")
 JSON_COLUMNS = {"risk_drivers": schemas.DRIVERS, "evidence": T.ArrayType(T.StringType())}
-EXPORT_ORDER = {"interaction_insights": "call_ts", "payments": "due_date"}
+EXPORT_ORDER = {"interaction_insights": ("call_ts", "transcript_id"), "payments": ("due_date", "payment_id")}
 
 
 def read_raw_csv(spark: SparkSession, path: str, schema: T.StructType, multiline: bool = False) -> DataFrame:
@@ -37,27 +37,25 @@ def read_raw_tables(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
             for name, schema in schemas.RAW_TABLES.items()}
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Spread an input whose few splits would keep half of the cores idle; others are left as they are, unshuffled."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() * 2 <= cores else df
-
-
 def write_table(df: DataFrame, path: str, month_of: str | None = None, mode: str = "overwrite") -> None:
     """Parquet table; with `month_of`, laid out by the month of that column.
 
-    Appends span few months and are written where they are. A first load may span all of them and is rebalanced, which
-    splits the busy months instead of sending each to one task.
+    Rows are rebalanced by month, which splits the busy months instead of sending each to one task and keeps a first load
+    of all months, in either mode, from leaving a file of every task in every month.
     """
     if month_of is None:
         df.write.mode(mode).parquet(path)
         return
-    by_month = df.withColumn("month", F.date_format(month_of, "yyyy-MM"))
-    if mode == "overwrite":
-        by_month = by_month.hint("rebalance", F.col("month"))
+    by_month = df.withColumn("month", F.date_format(month_of, "yyyy-MM")).hint("rebalance", F.col("month"))
     by_month.write.mode(mode).partitionBy("month").parquet(path)
 
 
+def create_empty(spark: SparkSession, like: DataFrame, path: str) -> None:
+    """A table by month without rows, unless there is one."""
+    spark.createDataFrame([], like.schema).withColumn("month", F.lit("none")).write.mode("ignore").partitionBy(
+        "month").parquet(path)
+
+
 def write_parquet_tables(tables: Mapping[str, DataFrame], folder: str) -> None:
     for name, df in tables.items():
         write_table(df, f"{folder.rstrip('/')}/{name}", "call_ts" if name == "interaction_insights" else None)
@@ -109,9 +107,10 @@ def json_ready(df: DataFrame) -> DataFrame:
 
 
 def export_json(tables: Mapping[str, DataFrame], folder: str) -> None:
-    """Each table as JSON records; calls and payments in time order."""
+    """Each table as JSON records; calls and payments in order of time and id, so that a busy day is split over tasks."""
     for name, df in tables.items():
-        ready = df.orderBy(EXPORT_ORDER[name]) if name in EXPORT_ORDER else df
+        order = [c for c in EXPORT_ORDER.get(name, ()) if c in df.columns]
+        ready = df.orderBy(*order) if order else df
         json_ready(ready).write.mode("overwrite").option("ignoreNullFields", False).json(f"{folder.rstrip('/')}/{name}")
 
 

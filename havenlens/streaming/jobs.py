@@ -6,16 +6,12 @@ import datetime as dt
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from havenlens import constants as K
 from havenlens.operators import decisions, insights
-from havenlens.sources.tables import write_table
-
-
-def read_stored(spark: SparkSession, path: str, like: DataFrame) -> DataFrame:
-    """The table at `path` with the columns of `like`, also while nothing has been written."""
-    return spark.read.schema(like.schema).option("ignoreMissingFiles", True).parquet(path)
+from havenlens.sources.tables import create_empty, write_table
 
 
 def stream_enrich(calls: DataFrame, path: str, checkpoint: str, wording: K.Wording = K.DEFAULT_WORDING,
@@ -29,23 +25,34 @@ def stream_enrich(calls: DataFrame, path: str, checkpoint: str, wording: K.Wordi
     create_empty(calls.sparkSession, shape, path)
 
     def append(batch: DataFrame, _batch_id: int) -> None:
-        stored = read_stored(batch.sparkSession, path, shape)
-        fresh = insights.enrich_incremental(batch.dropDuplicates(["transcript_id"]), stored, wording, enriched_at)
-        write_table(fresh, path, month_of="call_ts", mode="append")
+        write_table(fresh_calls(batch, path, wording, enriched_at), path, month_of="call_ts", mode="append")
 
     return (calls.writeStream.foreachBatch(append).option("checkpointLocation", checkpoint)
             .trigger(availableNow=True).start())
 
 
-def create_empty(spark: SparkSession, like: DataFrame, path: str) -> None:
-    spark.createDataFrame([], like.schema).withColumn("month", F.lit("none")).write.mode("ignore").partitionBy(
-        "month").parquet(path)
+def fresh_calls(batch: DataFrame, path: str, wording: K.Wording = K.DEFAULT_WORDING,
+                enriched_at: dt.datetime | None = None) -> DataFrame:
+    """Insights of the calls of a batch that the table at `path` does not hold yet.
+
+    A call has one time, however late it is uploaded, so only the stored months that the batch holds calls of are read.
+    Of repeats within a batch the latest call time stays, then the largest text.
+    """
+    names = batch.columns
+    order = F.struct("call_ts", F.coalesce("transcript_text", F.lit("")), F.xxhash64(*names))
+    once = batch.groupBy("transcript_id").agg(F.max_by(F.struct(*names), order).alias("call")).select("call.*")
+    months = batch.select(F.date_format("call_ts", "yyyy-MM").alias("month")).distinct()
+    kind = T.StructType([T.StructField("transcript_id", T.StringType()), T.StructField("month", T.StringType())])
+    known = (batch.sparkSession.read.schema(kind).parquet(path)
+             .join(F.broadcast(months), "month", "left_semi").select("transcript_id"))  # one row a month
+    return insights.enrich_incremental(once, known, wording, enriched_at)
 
 
 def stream_action_status(log: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     """Keep the latest decision per customer as decisions arrive.
 
-    Batch n reads version n-1 and writes version n, so a replayed batch rewrites the same version from the same input.
+    Batch n reads version n-1 and writes version n, so a replayed batch rewrites the same version from the same input;
+    older versions are then dropped.
     Table and checkpoint belong together: begin a new table when the checkpoint is lost.
     """
     def advance(batch: DataFrame, batch_id: int) -> None:
@@ -54,13 +61,28 @@ def stream_action_status(log: DataFrame, path: str, checkpoint: str) -> Streamin
             before = batch.sparkSession.read.parquet(f"{path}/version={batch_id - 1}")
             latest = decisions.latest_decision(latest.unionByName(before))
         latest.write.mode("overwrite").parquet(f"{path}/version={batch_id}")
+        for version in status_versions(batch.sparkSession, path):
+            if version < batch_id - 1:
+                drop_version(batch.sparkSession, path, version)
 
     return (log.writeStream.foreachBatch(advance).option("checkpointLocation", checkpoint)
             .trigger(availableNow=True).start())
 
 
 def current_status(spark: SparkSession, path: str) -> DataFrame:
-    """The newest version of the status table."""
-    versions = spark.read.parquet(path)
-    newest = spark.read.parquet(path).select(F.max("version")).scalar()
-    return versions.where(F.col("version") == newest).drop("version", "log_id")
+    """The newest version of the status table; only its folder is read."""
+    return spark.read.parquet(f"{path}/version={max(status_versions(spark, path))}").drop("log_id")
+
+
+def status_versions(spark: SparkSession, path: str) -> list[int]:
+    """The whole versions of the status table that are stored: two at most."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    found = [status.getPath() for status in files.listStatus(folder)]
+    return sorted(int(p.getName().partition("=")[2]) for p in found if p.getName().startswith("version=")
+                  and files.exists(spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS")))
+
+
+def drop_version(spark: SparkSession, path: str, version: int) -> None:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/version={version}")
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)

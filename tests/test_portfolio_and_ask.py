@@ -73,13 +73,25 @@ def test_questions(question, spec):
     assert ask.read_question(question, AS_OF) == spec
 
 
-def test_hot_customer_gets_pages_that_hold_every_policy_once(sample):
-    pages = ask.ask_policy_list(sample["policies"], page_size=400).where("customer_id = 'hot'").collect()
-    ids = [p for r in pages for p in r.policy_ids.split(", ")]
-    assert len(pages) > 1 and max(len(r.policy_ids.split(", ")) for r in pages) < 800
+def test_policies_are_listed_in_one_shape_however_many_there_are(book, sample):
+    lines = ask.ask_policy_list(sample["policies"])
+    ids = [r.policy_id for r in lines.where("customer_id = 'hot'").collect()]
     assert sorted(ids) == [f"H{i:04d}" for i in range(2500)]
-    whole = ask.ask_policy_list(sample["policies"], page_size=5000).where("customer_id = 'hot'").collect()
-    assert len(whole) == 1 and whole[0].policy_ids.startswith("H0000, H0080, H0160")
+    assert lines.where("customer_id = 'tie'").columns == ["customer_id", "renewal_date", "policy_id"]
+    spec = ask.CohortSpec(window=(AS_OF, AS_OF + dt.timedelta(days=400)))
+    cohort = ask.ask_cohort(spec, book.nba, book.policies, book.insights, AS_OF)
+    table = ask.ask_table(spec, cohort).collect()
+    assert len({r.customer_id for r in table}) == len(table)
+    assert {r.customer_id: r.n_policies for r in table}["hot"] == 2500
+    behind = ask.ask_policies(spec, cohort, book.policies).collect()
+    assert [r.policy_id for r in behind if r.customer_id == "hot"][:3] == ["H0000", "H0080", "H0160"]
+    assert list(dict.fromkeys(r.customer_id for r in behind)) == [r.customer_id for r in table]
+
+
+def test_filters_in_words():
+    spec = ask.read_question("Top 5 HNI customers at high risk with health policies renewing next month", AS_OF)
+    assert spec.filters == ("renewing 2001-12-01 to 2001-12-31", "product: Health", "risk: High", "segment: HNI", "first: 5")
+    assert ask.CohortSpec().filters == ()
 
 
 def test_lookup_by_name_takes_the_first_id(book):
@@ -94,19 +106,32 @@ def test_governed_select(spark, book):
                 "claims": session.createDataFrame([(1,)], "x int")}
 
     spark.sql("CREATE TABLE hidden_stock USING parquet AS SELECT 1 AS x")
+    spark.range(3).selectExpr("id AS x").createOrReplaceGlobalTempView("secret")
     try:
+        for allowed, rows in (("SELECT 'please call; update' AS x", 1), ("SELECT policy_id FROM app.policies", 2),
+                              ("```sql\nSELECT 'app.policies' AS x FROM CURATED.policies\n```", 2),
+                              ("SELECT * FROM (VALUES (1), (2), (3)) v(x)", 3), ("SELECT id FROM range(4)", 4)):
+            assert ask.governed_select(spark, allowed, build).count() == rows
+        assert ask.governed_select(spark, "SELECT 'app.policies' AS x", build).first().x == "app.policies"
         got = ask.governed_select(spark, "WITH t AS (SELECT premium FROM policies) SELECT sum(premium) AS s FROM t;", build)
         assert got.first().s == 12
         for refused in ("DELETE FROM policies", "SELECT 1; SELECT 2", "SELECT * FROM claims", "DROP TABLE policies",
                         "SELECT * FROM hidden_stock", "SELECT * FROM default.hidden_stock",
                         "SELECT * FROM parquet.`/tmp`", "SELECT reflect('java.lang.System', 'exit', 1)",
-                        "SELECT * FROM policies) --", "SELECT * FROM (SELECT x FROM spark_catalog.default.hidden_stock) h"):
+                        "SELECT * FROM policies) --", "SELECT * FROM global_temp.secret", "TABLE global_temp.secret",
+                        "SELECT (SELECT max(x) FROM global_temp.secret) AS x FROM policies",
+                        "SELECT * FROM policies WHERE premium IN (SELECT x FROM hidden_stock)",
+                        "WITH policies AS (SELECT * FROM hidden_stock) SELECT * FROM policies",
+                        "SELECT * FROM session.policies", "SELECT * FROM other.app.policies", "SHOW TABLES",
+                        "SELECT reflect/**/('java.lang.System', 'exit', 1)", "SELECT 1; DROP TABLE policies",
+                        "SELECT try_reflect('java.lang.System', 'exit', 1) FROM policies", "SELECT * FROM (SELECT x FROM spark_catalog.default.hidden_stock) h"):
             with pytest.raises(ask.QueryRefused):
                 ask.governed_select(spark, refused, build)
         many = "SELECT explode(sequence(1, 40)) AS n, policy_id FROM policies"
         assert ask.governed_select(spark, many, build).count() == 50
     finally:
         spark.sql("DROP TABLE hidden_stock")
+        spark.catalog.dropGlobalTempView("secret")
 
 
 def test_metrics_do_not_change_when_another_table_joins_the_question(book):

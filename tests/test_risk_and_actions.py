@@ -117,3 +117,28 @@ def test_latest_valid_decision_wins(spark, rows):
     uptake = decisions.action_uptake(status).first()
     assert (uptake.reviewed, uptake.done, uptake.uptake_rate) == (2, 1, 0.5)
     assert decisions.action_uptake(status.limit(0)).first().uptake_rate is None
+
+
+def test_repeated_answers_keep_one_row_per_customer(spark, book):
+    from pyspark.sql import functions as F
+
+    ids = [r.customer_id for r in book.nba.orderBy("customer_id").limit(2).collect()]
+    answers = [(ids[0], '{"action": "First", "evidence": ["x"]}', 1), (ids[0], '{"action": "Second"}', 2), (ids[0], "no answer", 3),
+               (ids[1], '{"action": "A"}', 5), (ids[1], '{"action": "B"}', 5)]
+    df = spark.createDataFrame(answers, "customer_id string, response string, responded_at int")
+    for responses, first in ((df, "Second"), (df.drop("responded_at"), "Second")):
+        after = actions.apply_model_response(book.nba, responses, book.insights)
+        got = {r.customer_id: r for r in after.collect()}
+        assert after.count() == book.nba.count() == len(got)
+        assert got[ids[0]].action == first and got[ids[1]].action == "B"
+    assert after.where(F.col("generated_by") == "model").count() == 2
+
+
+def test_only_cited_calls_are_summarised(book):
+    from conftest import AS_OF
+
+    told = actions.cited_calls_in_words(book.nba, book.call_transcripts, AS_OF)
+    plan = told._jdf.queryExecution().optimizedPlan().toString()
+    depth = {name: plan.index(name) for name in ("summary", "LeftSemi")}
+    assert depth["summary"] < depth["LeftSemi"] and "transcript_text" not in plan.split("LeftSemi")[0].split("Project")[0]
+    assert told.count() == book.nba.selectExpr("explode(evidence)").count()

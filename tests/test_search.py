@@ -50,7 +50,7 @@ def test_keyword_search_moves_only_candidates(documents):
     _, df = documents
     plan = search.keyword_search(df, [search.SearchQuery("q", "the claim")], 3, "doc_id", "text")
     text = plan._jdf.queryExecution().executedPlan().toString()
-    assert text.count("Exchange hashpartitioning") == 1 and "WindowGroupLimit" in text
+    assert text.count("Exchange hashpartitioning") == 2 and text.count("WindowGroupLimit") >= 2
 
 
 def test_filters_limit_candidates_but_not_statistics(spark):
@@ -82,10 +82,32 @@ def test_vector_search_equals_brute_force(vectors, on):
         assert [r.vec_id for r in sorted((r for r in got if r.query_id == qid), key=lambda r: r["rank"])] == want
 
 
-def test_too_many_unfiltered_vectors_are_refused(vectors, spark, monkeypatch):
-    monkeypatch.setattr(search, "MAX_QUERY_VECTORS", 3)
-    with pytest.raises(ValueError):
-        search.vector_search(vectors[2], vectors[3].drop("label"))
+@pytest.mark.parametrize("on", [(), ("label",)])
+def test_blocks_of_any_size_give_the_same_answer(vectors, on):
+    _, _, df, qdf = vectors
+    whole = search.vector_search(df, qdf if on else qdf.drop("label"), 7, on).collect()
+    split = search.vector_search(df, qdf if on else qdf.drop("label"), 7, on, vector_rows=30, query_rows=2).collect()
+    assert {(r.query_id, r.vec_id, r["rank"], round(r.score, 12)) for r in whole} == {
+        (r.query_id, r.vec_id, r["rank"], round(r.score, 12)) for r in split}
+
+
+def test_ten_thousand_query_vectors_are_no_limit(spark, vectors):
+    from pyspark.sql import functions as F
+    many = spark.range(10_000).select(
+        F.concat(F.lit("q"), "id").alias("query_id"),
+        F.transform(F.sequence(F.lit(1), F.lit(8)), lambda i: F.sin(F.col("id") * i + 1)).alias("query_vector"))
+    got = search.vector_search(vectors[2], many, 2)
+    assert got.count() == 20_000
+
+
+@pytest.mark.parametrize("k", [5, 2000])
+def test_hits_of_a_query_are_limited_in_parts_before_they_meet(spark, k):
+    hits = spark.range(5000).selectExpr("concat('q', id % 1) AS query_id", "id AS doc_id", "cast(id % 977 AS double) AS score").repartition(4)
+    ranked = search._ranked(hits, ["query_id"], "doc_id", k)
+    plan = ranked._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 2 and "part#" in plan.split("Exchange hashpartitioning")[2]
+    want = sorted(((-(i % 977), i) for i in range(5000)))[:k]
+    assert [(r.doc_id, r["rank"]) for r in ranked.orderBy("rank").collect()] == [(i, n + 1) for n, (_, i) in enumerate(want)]
 
 
 def test_fusion_sums_reciprocal_ranks(spark):

@@ -63,9 +63,8 @@ def test_stages_equal_the_single_plan(book, plain_book):
     assert book.nba.exceptAll(plain_book.nba).count() == 0 and book.nba.count() == plain_book.nba.count()
 
 
-def test_log_ids_rise_with_every_append(spark, rows, tmp_path):
+def test_the_first_append_starts_the_log_and_ids_rise_with_every_other(spark, tmp_path):
     path = str(tmp_path / "log")
-    rows(schemas.ACTION_LOG, []).write.parquet(path)
     for status in ("Accepted", "Done"):
         batch = spark.createDataFrame([("a", status), ("b", status)], "customer_id string, status string")
         decisions.append_action_log(batch, path, agent="me", now=STAMP)
@@ -75,6 +74,55 @@ def test_log_ids_rise_with_every_append(spark, rows, tmp_path):
     assert {r.agent for r in log.collect()} == {"me"}
 
 
+def test_later_stages_add_new_calls_only(spark, sample, tmp_path):
+    import dataclasses
+
+    from havenlens.plans.book import book_from_tables, run_stages
+
+    whole = book_from_tables(sample, AS_OF, stamped_at=STAMP)
+    early = dataclasses.replace(whole, call_transcripts=sample["call_transcripts"].where("call_ts < TIMESTAMP_NTZ '2001-10-01'"))
+    first = run_stages(spark, early, str(tmp_path))["interaction_insights"]
+    n_first, files = first.count(), set(first.inputFiles())
+    stored = run_stages(spark, whole, str(tmp_path))
+    assert files < set(spark.read.parquet(f"{tmp_path}/interaction_insights").inputFiles())
+    assert 0 < n_first < stored["interaction_insights"].count() == sample["call_transcripts"].count()
+    assert stored["next_best_actions"].exceptAll(whole.nba).count() == 0
+    from havenlens.operators import customer360
+
+    recent = customer360.since(stored["interaction_insights"], AS_OF, 180)
+    assert "PartitionFilters: [isnotnull(month" in recent._jdf.queryExecution().executedPlan().toString()
+
+
+def test_months_are_rebalanced_on_a_first_append(spark, tmp_path):
+    calls = spark.range(4000).selectExpr("id", "TIMESTAMP_NTZ '2001-01-05' + make_interval(0, cast(id % 12 AS int)) AS call_ts").repartition(40)
+    io.write_table(calls, str(tmp_path / "t"), "call_ts", "append")
+    assert len(list(Path(tmp_path, "t").glob("month=*/part-*"))) <= 24
+
+
+def test_export_sorts_a_busy_day_by_id(spark, tmp_path):
+    df = spark.createDataFrame([(f"p{i:03d}", dt.date(2001, 1, 1)) for i in range(200)][::-1], "payment_id string, due_date date").repartition(5)
+    io.export_json({"payments": df}, str(tmp_path))
+    parts = sorted(Path(tmp_path, "payments").glob("part-*.json"))
+    ids = [json.loads(line)["payment_id"] for part in parts for line in part.read_text().splitlines()]
+    assert ids == sorted(ids) and len(ids) == 200
+
+
+def test_arrivals_meet_their_own_months_only_and_repeats_have_a_rule(spark, sample, tmp_path):
+    path, calls = str(tmp_path / "t"), sample["call_transcripts"]
+    io.create_empty(spark, insights.interaction_insights(calls), path)
+    io.write_table(insights.interaction_insights(calls.where("call_ts < TIMESTAMP_NTZ '2001-10-01'")), path, "call_ts", "append")
+    batch = calls.where("call_ts >= TIMESTAMP_NTZ '2001-09-15'")
+    twins = batch.limit(1).withColumn("transcript_text", F.lit("Customer: z later text"))
+    fresh = jobs.fresh_calls(batch.unionByName(twins), path)
+    plan = fresh._jdf.queryExecution().executedPlan().toString()
+    assert "dynamicpruning" in plan.lower()
+    got = {r.transcript_id: r for r in fresh.collect()}
+    assert got.keys() == {r.transcript_id for r in calls.where("call_ts >= TIMESTAMP_NTZ '2001-10-01'").collect()}
+    twin = twins.first().transcript_id
+    if twin in got:
+        assert got[twin].transcript_text == max("Customer: z later text", calls.where(F.col("transcript_id") == twin).first().transcript_text)
+
+
 def test_stream_equals_batch_and_repeats_add_nothing(spark, sample, tmp_path):
     arriving, store, progress = (str(tmp_path / n) for n in ("in", "out", "progress"))
     calls = sample["call_transcripts"]
@@ -98,11 +146,14 @@ def test_status_stream_equals_batch(spark, rows, tmp_path):
     log = rows(schemas.ACTION_LOG, [
         dict(log_id=i, customer_id=f"c{i % 7}", status=("Accepted", "Done", "Odd", "Rejected")[i % 4],
              ts=dt.datetime(2001, 11, 1 + i % 3)) for i in range(60)])
-    log.repartition(3).write.parquet(arriving)
+    log.repartition(20).write.parquet(arriving)
     stream = spark.readStream.schema(schemas.ACTION_LOG).option("maxFilesPerTrigger", 1).parquet(arriving)
     jobs.stream_action_status(stream, store, progress).awaitTermination()
     got, want = jobs.current_status(spark, store), decisions.action_status(log)
     assert got.exceptAll(want).count() == 0 and got.count() == want.count() > 0
+    versions = jobs.status_versions(spark, store)
+    assert len(versions) == 2 and versions[-1] >= 15
+    assert all(f"version={versions[-1]}/" in f for f in got.inputFiles())
 
 
 def test_shared_folder_is_the_configured_one(spark):
@@ -110,3 +161,19 @@ def test_shared_folder_is_the_configured_one(spark):
 
     assert shared_folder(spark) == spark.conf.get("spark.checkpoint.dir")
     assert AS_OF.year == 2001
+
+
+def test_shared_folder_without_a_setting_is_in_the_warehouse(monkeypatch):
+    from havenlens import session
+
+    class Conf:
+        def get(self, name, default=None):
+            return {"spark.sql.warehouse.dir": "hdfs://x/warehouse/"}.get(name, default)
+
+    class Bare:
+        conf = Conf()
+
+        class sparkContext:
+            getCheckpointDir = staticmethod(lambda: None)
+
+    assert session.shared_folder(Bare) == "hdfs://x/warehouse/scratch"
