@@ -68,15 +68,15 @@ def without(docs: DataFrame, hits: DataFrame, choose: Callable[[list[dict]], lis
     rows = with_row(docs, text_col, id_col)
     joined = rows.join(
         listed, rows["doc_id"].eqNullSafe(F.col("hit_id")) & (rows["row_key"] == F.col("hit_key")), "left").select(
-        "row", "doc_id", "text", "hits")
+        "row", "doc_id", "hits")  # the text is in the row, and is shuffled once
 
     kind = docs.schema[id_col].dataType.simpleString()
     schema = (f"row {joined.schema['row'].dataType.simpleString()}, doc_id {kind}, text string, "
               f"spans array<struct<first: bigint, last: bigint>>, origins array<{kind}>")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text"):
-            kept, spans, origins = batch["text"].to_pylist(), [], []
+        for batch in slices(batches, "row"):
+            kept, spans, origins = batch["row"].field(text_col).to_pylist(), [], []
             for row, hits in enumerate(batch["hits"].to_pylist()):
                 gone = choose(hits) if hits else []
                 own = merged([(h["first"], h["last"]) for h in gone])
