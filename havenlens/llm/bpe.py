@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import struct
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -138,11 +139,14 @@ def encoder(path: str, pattern: str) -> ChunkEncoder:
     """One per worker process, so that what it has met stays known from task to task."""
     vocab, pieces = vocabulary(path), regex.compile(pattern).findall
 
-    def encode_many(texts: list[str]) -> list[bytes]:
-        return [np.array([i for piece in pieces(text) for i in vocab.encode_piece(piece.encode())], "<u4").tobytes()
-                for text in texts]
+    def ids_of(text: str) -> bytes:
+        if text.isalpha() or text[:1] == " " and text[1:].isalpha():  # one piece
+            ids = vocab.encode_piece(text.encode())
+        else:
+            ids = [i for piece in pieces(text) for i in vocab.encode_piece(piece.encode())]
+        return struct.pack(f"<{len(ids)}I", *ids)
 
-    return ChunkEncoder(encode_many)
+    return ChunkEncoder(ids_of)
 
 
 def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -153,7 +157,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids_of = encoder(ranks_path, pattern)
         for batch in slices(batches, "text"):
-            found = ids_of([t or "" for t in batch["text"].to_pylist()])
+            found = [ids_of(t or "") for t in batch["text"].to_pylist()]
             ends = np.cumsum([0, *[len(ids) // 4 for ids in found]], dtype=np.int32)
             values = pa.array(np.frombuffer(b"".join(found), "<i4"))
             yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.ListArray.from_arrays(pa.array(ends), values)], ["doc_id", "ids"])
@@ -169,8 +173,11 @@ def decode(encoded: DataFrame, ranks_path: str, ids_col: str = "ids") -> DataFra
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         content = vocabulary(ranks_path).decode
         for batch in slices(batches, ids_col):
-            found = [None if ids is None else content(ids) for ids in batch[ids_col].to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.binary())], [*columns, "content"])
+            lists = batch[ids_col]
+            values, at = lists.values.to_numpy(), lists.offsets.to_numpy()
+            found = [content(values[start:end].tolist()) for start, end in zip(at, at[1:])]
+            none = lists.is_null().to_numpy(zero_copy_only=False)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.binary(), mask=none)], [*columns, "content"])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema.fields)
     return encoded.mapInArrow(run, f"{fields}, content binary")

@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 import os
+import struct
 from bisect import bisect_right, insort
 from collections.abc import Iterator
 from functools import lru_cache
 
-import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -22,6 +22,14 @@ STEP_TOKENS = 16 * 2048
 GATHERED = 2_000_000
 
 
+def _byte_characters() -> dict[int, str]:
+    """The character that stands for each byte in a byte-level vocabulary: printable ones for themselves, the others for
+    the characters from 256 on, in order."""
+    printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in printable]
+    return {b: chr(b) for b in printable} | {b: chr(256 + n) for n, b in enumerate(others)}
+
+
 @lru_cache(maxsize=2)
 def encoder(path: str) -> ChunkEncoder:
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
@@ -30,10 +38,16 @@ def encoder(path: str) -> ChunkEncoder:
     tokenizer = Tokenizer.from_file(path)
     tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
 
-    def encode_many(texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    merge, shown = tokenizer.model.tokenize, _byte_characters()
+
+    def ids_of(text: str) -> bytes:
+        if text.isalpha() or text[:1] == " " and text[1:].isalpha():  # one piece, so that its merges are all there is to do
+            ids = [token.id for token in merge(text.encode().decode("latin-1").translate(shown))]
+        else:
+            ids = tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
+        return struct.pack(f"<{len(ids)}I", *ids)
 
-    return ChunkEncoder(encode_many)
+    return ChunkEncoder(ids_of)
 
 
 #: A piece of a document (by its number): where it starts there and how long it is.
@@ -115,7 +129,7 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 1, tiers: tuple[int
     with the same rows. Repeated rows are packed one by one; an empty table gives no rows; other columns are ignored.
     """
     names = ["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset", "window", "step_group"]
-    end = np.array([end_id], "<u4").tobytes()
+    end = struct.pack("<I", end_id)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids_of = encoder(tokenizer_path)
@@ -158,7 +172,7 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 1, tiers: tuple[int
         kind = pa.int64()
         for batch in slices(batches, "text"):
             kind = batch["doc_id"].type
-            found = ids_of([t or "" for t in batch["text"].to_pylist()])
+            found = [ids_of(t or "") for t in batch["text"].to_pylist()]
             for key, ids in zip(batch["doc_id"].to_pylist(), found):
                 texts[n_docs] = (key, ids + end)
                 open_[n_docs] = (0, len(ids) // 4 + 1)

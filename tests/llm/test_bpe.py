@@ -24,7 +24,7 @@ def reference():
 
 
 def encode(texts):
-    return [np.frombuffer(ids, "<u4").tolist() for ids in bpe.encoder(PATH, public_tokenizers.PATTERN)(texts)]
+    return [np.frombuffer(ids, "<u4").tolist() for ids in map(bpe.encoder(PATH, public_tokenizers.PATTERN), texts)]
 
 
 @settings(max_examples=300, deadline=None)
@@ -60,10 +60,10 @@ def test_a_token_that_merges_never_reach_stands_for_its_whole_piece_only():
 
 def test_memory_of_chunks_is_bounded():
     made = []
-    chunks = ChunkEncoder(lambda texts: made.extend(texts) or [t.encode() for t in texts], most=10)
+    chunks = ChunkEncoder(lambda text: made.append(text) or text.encode(), most=10)
     for i in range(200):
-        assert chunks([f"x w{i} always {'long' * 30}"]) == [f"x w{i} always {'long' * 30}".encode()]
-    assert len(chunks._young) + len(chunks._old) <= 40
+        assert chunks(f"x w{i} always {'long' * 30}") == f"x w{i} always {'long' * 30}".encode()
+    assert len(chunks._known) + len(chunks._known._old) <= 40
     assert made.count(" always") == 1 and made.count(" " + "long" * 30) == 200
 
 
