@@ -15,8 +15,8 @@ from havenlens import schemas
 from havenlens.functions import churn
 from havenlens.functions import text as tx
 from havenlens.functions.numeric import fixed, inr_label
-from havenlens.operators import (actions, ask, customer360, decisions, insights, portfolio, risk, search, semantic,
-                                 serving)
+from havenlens.operators import (actions, ask, customer360, decisions, insights, portfolio, risk, search, search_index,
+                                 semantic, serving)
 from havenlens.plans import fixtures as fx
 from havenlens.plans.book import Book, run_stages
 from havenlens.plans.checks import f2, r, with_steps
@@ -1053,6 +1053,20 @@ def _(c):
     return shown_score(search.hybrid_search(by_text, by_vector.withColumnRenamed("vec_id", "doc_id")))
 
 
+@query("keyword_search_index", _bm25_check(CORPUS_SQL, "transcript_id", "search_text", CALL_SEARCHES, 5, final="""
+ SELECT query_id, transcript_id AS id, rank, score, customer_id, call_date, primary_intent, sentiment_label, summary
+ FROM ranked JOIN (SELECT transcript_id, customer_id, call_date, primary_intent, sentiment_label, summary FROM docs) d
+ USING (transcript_id)"""))
+def _(c):
+    """On a stored index that older calls began and newer ones were added to."""
+    path, corpus = c.scratch("index"), io.snapshot_360(search.search_corpus(c.book.insights), c.scratch("corpus"))
+    search_index.append_index(corpus.where("call_date < '2001-10-06'"), path)
+    search_index.append_index(corpus, path)
+    asked = [(q.query_id, q.text, q.filters.get("primary_intent"), q.filters.get("sentiment_label")) for q in CALL_SEARCHES]
+    queries = c.spark.createDataFrame(asked, "query_id string, text string, primary_intent string, sentiment_label string")
+    return shown_score(search_index.search_index(queries, path))
+
+
 LEAVING = search.SearchQuery("leaving", "cancel or port my policy")
 
 

@@ -8,6 +8,8 @@ from collections import Counter
 import numpy as np
 import pytest
 
+from pyspark.sql import functions
+
 from havenlens.operators import search
 
 
@@ -125,3 +127,69 @@ def test_cohort_cites_only_its_own_calls(book):
         cohort, corpus, search.SearchQuery("q", "cancel or port my policy")).collect()}
     assert got["none"] == "" and got["calls"].startswith("[a90]") and got["hot"].count("[h") == 5
     assert search.refresh_corpus(book.insights, corpus).count() == 0
+
+
+@pytest.fixture(scope="module")
+def index(spark, book, tmp_path_factory):
+    """The same corpus indexed at once and in two loads."""
+    from havenlens.operators import search_index
+
+    corpus, folder = search.search_corpus(book.insights), tmp_path_factory.mktemp("index")
+    search_index.append_index(corpus, f"{folder}/once")
+    search_index.append_index(corpus.where("call_date < '2001-09-15'"), f"{folder}/twice")
+    search_index.append_index(corpus, f"{folder}/twice")
+    search_index.append_index(corpus, f"{folder}/twice")  # nothing is new
+    return corpus, str(folder)
+
+
+QUERIES = [("leave", "cancel or port my policy", None), ("cheap", "cheaper cheaper premium", None), ("none", "zebra", None),
+           ("some", "cancel cheaper the", "cancellation_intent")]
+
+
+def test_index_equals_a_scan_and_two_loads_equal_one(spark, index):
+    from havenlens.operators import search_index
+
+    corpus, folder = index
+    asked = spark.createDataFrame(QUERIES, "query_id string, text string, primary_intent string")
+    scanned = search.keyword_search(corpus, [
+        search.SearchQuery(q, text, {"primary_intent": f} if f else {}) for q, text, f in QUERIES], 7)
+    want = {(r.query_id, r["rank"]): (r.transcript_id, round(r.score, 9)) for r in scanned.collect()}
+    for name in ("once", "twice"):
+        found = search_index.search_index(asked, f"{folder}/{name}", 7)
+        assert {(r.query_id, r["rank"]): (r.id, round(r.score, 9)) for r in found.collect()} == want and len(want) == 21
+        assert found.columns == ["query_id", "id", "rank", "score", "customer_id", "call_date", "primary_intent", "sentiment_label", "summary"]
+    n = {name: {t: spark.read.parquet(f"{folder}/{name}/{t}").count() for t in ("postings", "docs")} for name in ("once", "twice")}
+    assert n["once"] == n["twice"] and n["once"]["docs"] == corpus.count()
+
+
+def test_a_search_reads_postings_and_no_text(spark, index):
+    from havenlens.operators import search_index
+
+    asked = spark.createDataFrame(QUERIES, "query_id string, text string, primary_intent string")
+    plan = search_index.search_index(asked, f"{index[1]}/once")._jdf.queryExecution().executedPlan().toString()
+    assert "transcript_text" not in plan and "search_text" not in plan
+    filters = [line for line in plan.splitlines() if "/postings" in line]
+    assert filters and all("PartitionFilters: [term_part" in line for line in filters)
+
+
+def test_index_search_per_customer_among_members(spark, index, book):
+    from havenlens.operators import search_index
+
+    asked = spark.createDataFrame(QUERIES[:1], "query_id string, text string, primary_intent string")
+    members = spark.createDataFrame([("calls",), ("hot",)], "customer_id string")
+    got = search_index.search_index(asked, f"{index[1]}/once", 3, "customer_id", members).collect()
+    want = search.keyword_search(index[0], [search.SearchQuery("leave", QUERIES[0][1])], 3, per="customer_id", members=members).collect()
+    assert {(r.customer_id, r["rank"], r.id) for r in got} == {(r.customer_id, r["rank"], r.transcript_id) for r in want}
+
+
+def test_a_broken_load_is_not_read(spark, index, tmp_path):
+    from havenlens.operators import search_index
+
+    path = str(tmp_path / "i")
+    search_index.append_index(index[0].limit(20), path)
+    before = search_index.search_index(spark.createDataFrame(QUERIES[:2], "query_id string, text string, primary_intent string"), path)
+    rows = sorted(map(tuple, before.collect()), key=repr)
+    left = spark.read.parquet(f"{path}/postings").withColumn("load", functions.lit("broken"))
+    left.write.mode("append").partitionBy("term_part").parquet(f"{path}/postings")
+    again = search_index.search_index(spark.createDataFrame(QUERIES[:2], "query_id string, text string, primary_intent string"), path)
+    assert sorted(map(tuple, again.collect()), key=repr) == rows
