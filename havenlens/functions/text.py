@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from havenlens import constants as K
@@ -120,3 +120,10 @@ def call_summary(intent: Column, text: Column, said: Column, lowered: Column,
         (said.contains("address"), line("address")),
         (said.contains("certificate"), line("certificate")),
     ], line("general"))
+
+
+def ordered_text(turns: DataFrame, key: str, order: str, text: str) -> DataFrame:
+    """(key, customer_text): what was said in a conversation whose turns are rows, in order, null turns left out."""
+    said = F.sort_array(F.collect_list(F.struct(order, text)))
+    return turns.where(F.col(text).isNotNull()).groupBy(key).agg(
+        F.array_join(F.transform(said, lambda t: t.getField(text)), " ").alias("customer_text"))

@@ -92,6 +92,20 @@ TABLE_SYNONYMS = {
     "nba": ("churn risk", "next best action", "retention recommendations"),
     "ins": ("calls", "call transcripts", "interactions", "conversations", "call centre"),
 }
+# what calls are summed to before they meet customers, and the metrics over calls made from these sums
+CALL_SUMS = {
+    "n_calls": "count(transcript_id)",
+    "n_negative": "count_if(sentiment_label = 'negative')",
+    "n_cancelling": "count_if(primary_intent = 'cancellation_intent')",
+    "n_scored": "count(sentiment_score)",
+    "sum_score": "sum(sentiment_score)",
+}
+FROM_CALL_SUMS = {
+    "call_count": "coalesce(sum(n_calls), 0)",
+    "avg_sentiment": "sum(sum_score) / nullif(sum(n_scored), 0)",
+    "negative_call_share": "sum(n_negative) / nullif(sum(n_calls), 0)",
+    "cancellation_calls": "coalesce(sum(n_cancelling), 0)",
+}
 KEYS = {"c360": "customer_id", "nba": "customer_id", "ins": "transcript_id"}
 
 
@@ -111,13 +125,18 @@ def _with_dimensions(tables: Mapping[str, DataFrame], base: str, names: Sequence
                      only: Column | None) -> DataFrame:
     """Rows of one logical table with dimension columns of any table beside them, never multiplied.
 
-    Dimensions of the other customer table join one to one. Call dimensions on a customer table join the distinct
+    Calls that need dimensions of a customer are summed per customer and call dimension first, so that a busy caller is one
+    row. Dimensions of the other customer table join one to one. Call dimensions on a customer table join the distinct
     (customer, values) pairs, so a customer counts once per value however many calls there are.
     """
     rows = tables[base]
     by_table: dict[str, list[str]] = {}
     for name in names:
         by_table.setdefault(DIMENSIONS[name][0], []).append(name)
+    if base == "ins" and set(by_table) - {"ins"}:
+        own = by_table.pop("ins", [])
+        rows = rows.groupBy("customer_id", *[F.expr(DIMENSIONS[name][1]).alias(name) for name in own]).agg(
+            *[F.expr(total).alias(name) for name, total in CALL_SUMS.items()])
     for table, wanted in by_table.items():
         columns = [F.expr(DIMENSIONS[name][1]).alias(name) for name in wanted]
         if table == base:
@@ -147,7 +166,8 @@ def semantic_query(tables: Mapping[str, DataFrame], dimensions: Sequence[str], m
     for table in dict.fromkeys(METRICS[m][0] for m in metrics):
         own = [m for m in metrics if METRICS[m][0] == table]
         rows = _with_dimensions(tables, table, needed, only)
-        parts.append(rows.groupBy(*dimensions).agg(*[F.expr(METRICS[m][1]).alias(m) for m in own]))
+        made = FROM_CALL_SUMS if "n_calls" in rows.columns else {m: METRICS[m][1] for m in own}
+        parts.append(rows.groupBy(*dimensions).agg(*[F.expr(made[m]).alias(m) for m in own]))
     if len(parts) == 1:
         return parts[0].select(*dimensions, *metrics)
     stacked = parts[0]

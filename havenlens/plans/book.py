@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 from collections.abc import Mapping
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
@@ -91,6 +91,14 @@ def run_stages(spark: SparkSession, book: Book, folder: str) -> dict[str, DataFr
     return stored
 
 
+def on_stages(book: Book, stored: Mapping[str, DataFrame]) -> Book:
+    """The same book with its derived tables read from written stages: what queries of several tables should run on."""
+    made = replace(book)
+    made.__dict__.update(insights=stored["interaction_insights"], c360=stored["customer_360"],
+                         risk=stored["churn_risk"], nba=stored["next_best_actions"])
+    return made
+
+
 def append_insights(spark: SparkSession, book: Book, path: str) -> DataFrame:
     """The insights table at `path`, by month, after the insights of calls that it did not hold were added."""
     io.create_empty(spark, book.insights, path)

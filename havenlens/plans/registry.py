@@ -184,6 +184,28 @@ def _(c):
         "payment_status string, days_late int").json(f"{folder}/payments")
 
 
+@query("export_json_actions", """SELECT customer_id, strftime(next_renewal_date, '%Y-%m-%dT00:00:00') AS next_renewal_date,
+ risk_score, risk_drivers, evidence, count(*) OVER () AS n_rows, '2001-11-05T00:00:00' AS as_of FROM nba""")
+def _(c):
+    """Rows with nested arrays, and the summary and run meta written beside them."""
+    folder = c.scratch("json")
+    meta = io.run_meta(insights.intent_accuracy(c.book.insights, c.book.labels), AS_OF, generated_at=STAMP)
+    io.export_json({"next_best_actions": c.book.nba, "portfolio": portfolio.portfolio_totals(c.book.nba, c.book.insights), "meta": meta}, folder)
+    rows = c.spark.read.schema("customer_id string, next_renewal_date string, risk_score double, evidence array<string>, "
+                               f"risk_drivers {schemas.DRIVERS.simpleString()}").json(f"{folder}/next_best_actions")
+    beside = c.spark.read.schema("n_customers bigint").json(f"{folder}/portfolio").select(F.col("n_customers").alias("n_rows")).join(
+        c.spark.read.schema("as_of string").json(f"{folder}/meta"))
+    return rows.join(beside).select(
+        "customer_id", "next_renewal_date", "risk_score", driver_text(F.col("risk_drivers")).alias("risk_drivers"),
+        F.array_join("evidence", ",").alias("evidence"), "n_rows", "as_of")
+
+
+@query("conversation_text", "SELECT conv_id, string_agg(text, ' ' ORDER BY turn) AS customer_text FROM conversations "
+       "WHERE role = 'user' AND text IS NOT NULL GROUP BY conv_id")
+def _(c):
+    return tx.ordered_text(c.table("conversations").where(F.col("role") == "user"), "conv_id", "turn", "text")
+
+
 @query("snapshot_360", "SELECT * FROM c360")
 def _(c):
     return io.snapshot_360(c.book.c360, c.scratch("snapshot"))

@@ -77,7 +77,7 @@ def main() -> None:
 
     folder = f"/root/testdata/sf{sys.argv[1]}"
     queries, checks = entry.queries(), entry.oracle_sql()
-    names = sys.argv[2:] or list(queries)
+    names = sys.argv[2:] or list(checks)
     spark = build_session(master="local[8]", **{"spark.sql.shuffle.partitions": "8", "spark.driver.memory": "8g"})
     spark.sparkContext.setLogLevel("ERROR")
     con = connect(folder)

@@ -100,13 +100,10 @@ def plain_book(sample):
 @pytest.fixture(scope="session")
 def book(spark, sample, tmp_path_factory):
     """The same book with its derived tables read from written stages."""
-    from havenlens.plans.book import book_from_tables, run_stages
+    from havenlens.plans.book import book_from_tables, on_stages, run_stages
 
     made = book_from_tables(sample, AS_OF, stamped_at=dt.datetime(2001, 11, 5, 6))
-    stored = run_stages(spark, made, str(tmp_path_factory.mktemp("stages")))
-    made.__dict__.update(insights=stored["interaction_insights"], c360=stored["customer_360"],
-                         risk=stored["churn_risk"], nba=stored["next_best_actions"])
-    return made
+    return on_stages(made, run_stages(spark, made, str(tmp_path_factory.mktemp("stages"))))
 
 
 @pytest.fixture(scope="session")

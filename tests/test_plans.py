@@ -45,3 +45,10 @@ def test_month_layout_is_pruned(spark, sample, tmp_path):
     recent = customer360.since(stored, AS_OF, 20)
     assert re.search(r"PartitionFilters: \[.*month.*2001-10", plan_of(recent))
     assert recent.count() == customer360.since(sample["call_transcripts"], AS_OF, 20).count()
+
+
+def test_a_card_reads_each_stage_once(book):
+    from havenlens.operators import serving
+
+    plan = serving.customer_card(book.nba, book.c360)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 2 and "transcript_text" not in plan

@@ -151,6 +151,22 @@ def test_call_dimensions_count_a_customer_once_per_value(book):
     assert got[K.CANCELLATION].customer_count == 2 and got[K.CANCELLATION].call_count > 1000
 
 
+def test_calls_are_summed_before_they_meet_customers(book):
+    asked = semantic.semantic_query(book.logical_tables, ["churn_risk_band", "call_intent"], [
+        "call_count", "avg_sentiment", "negative_call_share", "cancellation_calls"])
+    plan = asked._jdf.queryExecution().optimizedPlan().toString()
+    join = plan.index("Join ")
+    assert "Aggregate [customer_id" in plan[join:] and "n_calls" in plan[join:]
+    calls = book.insights.join(book.nba.select("customer_id", "risk_band"), "customer_id").groupBy("risk_band", "primary_intent").agg(
+        F.count("*").alias("n"), F.avg("sentiment_score").alias("mood"), F.avg((F.col("sentiment_label") == "negative").cast("int")).alias("bad"))
+    want = {(r.risk_band, r.primary_intent): r for r in calls.collect()}
+    got = {(r.churn_risk_band, r.call_intent): r for r in asked.collect()}
+    assert got.keys() == want.keys()
+    for key, r in got.items():
+        assert r.call_count == want[key].n and abs(r.avg_sentiment - want[key].mood) < 1e-9 and abs(r.negative_call_share - want[key].bad) < 1e-9
+        assert r.cancellation_calls == (r.call_count if key[1] == K.CANCELLATION else 0)
+
+
 def test_null_dimension_values_meet(book):
     got = semantic.semantic_query(book.logical_tables, ["renewal_product"], ["customer_count", "high_risk_customers"])
     assert got.where("renewal_product IS NULL").count() == 1
