@@ -55,7 +55,7 @@ class ChunkEncoder:
     memory stays bounded and frequent parts stay.
     """
 
-    def __init__(self, encode: Callable[[str], bytes], most: int = 300_000):
+    def __init__(self, encode: Callable[[str], bytes], most: int = 200_000):
         self._encode, self._most = encode, most
         self._marks = {mark: encode(mark) for mark in _MARKS}
         self._known = _Known(encode, self._marks, None)

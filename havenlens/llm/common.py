@@ -12,9 +12,20 @@ from havenlens.session import scratch_path
 
 
 def read(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Hand texts to Python workers some megabytes at a time, unless the session has been told how many rows.
+
+    Spark's own 10,000 rows of whole texts are tens of megabytes on either side of every task.
+    """
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, str(rows))
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write a step to the shared folder and read it back: what follows sees one version, and lineage ends here."""
     path = scratch_path(df.sparkSession, name)
@@ -56,6 +67,7 @@ def slices(batches: Iterator[pa.RecordBatch], text_col: str, most_bytes: int = 4
         step = max(1, int(most_bytes * batch.num_rows / max(1, batch.column(text_col).nbytes)))
         for start in range(0, batch.num_rows, step):
             yield batch.slice(start, step)
+    pa.default_memory_pool().release_unused()  # a worker lives on after the task; what it freed should not stay with it
 
 
 def join_keys(rows: DataFrame, keys: DataFrame, key: str, count: str, shares: int = 1000) -> DataFrame:

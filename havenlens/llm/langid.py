@@ -27,7 +27,7 @@ _FAMILY_OF = {lang: family for family, langs in FAMILIES.items() for lang in lan
 
 #: Trigram buckets, and the most labelled rows per language that a model is fitted on.
 BUCKETS = 4096
-SAMPLE_PER_LANGUAGE = 600
+SAMPLE_PER_LANGUAGE = 400
 
 #: ASCII letters in lower case; bytes of longer characters as they are; all else a blank.
 _FOLD = np.full(256, 32, np.uint8)
@@ -114,7 +114,7 @@ def fit_rows(x: np.ndarray, langs: list[str]) -> Model:
     for lang in known:
         by_family.setdefault(_FAMILY_OF.get(lang.split("-")[0].lower(), f"own:{lang}"), []).append(lang)
     families = tuple(sorted(by_family))
-    x, labels = np.hstack([x, np.ones((len(x), 1))]).astype(np.float64), np.array(langs, object)
+    x, labels = np.hstack([x, np.ones((len(x), 1), np.float32)]), np.array(langs, object)
     member = {f: np.isin(labels, by_family[f]) for f in families}
     family_weights = np.stack([_svm(x, member[f]) for f in families]) if families else np.zeros((0, BUCKETS + 1))
     pairs = {}
@@ -131,11 +131,15 @@ def fit(docs: DataFrame, may_learn: Column, id_col: str = "doc_id", text_col: st
 
     What comes to the driver is a fixed number of floats per chosen row, so it is bounded by languages × per_language.
     """
-    chosen = (
-        docs.where(may_learn & F.col(lang_col).isNotNull())
-        .select(F.col(id_col).alias("doc_id"), F.col(lang_col).alias("lang"), F.xxhash64(F.col(id_col)).alias("hash"))
-        .withColumn("nth", F.row_number().over(Window.partitionBy("lang").orderBy("hash", "doc_id")))
-        .where(F.col("nth") <= per_language).select("doc_id").distinct())
+    def first(*by: str) -> Column:
+        return F.row_number().over(Window.partitionBy(*by).orderBy("hash", "doc_id"))
+
+    labelled = docs.where(may_learn & F.col(lang_col).isNotNull()).select(
+        F.col(id_col).alias("doc_id"), F.col(lang_col).alias("lang"), F.xxhash64(F.col(id_col)).alias("hash"))
+    # the smallest hashes of each language: of each of 64 ranges first, so that no task gets what all tasks have left of it
+    some = labelled.withColumn("range", F.shiftrightunsigned("hash", 58)).withColumn("nth", first("lang", "range"))
+    some = some.where(F.col("nth") <= per_language).withColumn("nth", first("lang"))
+    chosen = some.where(F.col("nth") <= per_language).select("doc_id").distinct()
     sample = (
         docs.where(may_learn & F.col(lang_col).isNotNull())
         .select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
