@@ -193,9 +193,9 @@ def _(c):
     io.export_json({"next_best_actions": c.book.nba, "portfolio": portfolio.portfolio_totals(c.book.nba, c.book.insights), "meta": meta}, folder)
     rows = c.spark.read.schema("customer_id string, next_renewal_date string, risk_score double, evidence array<string>, "
                                f"risk_drivers {schemas.DRIVERS.simpleString()}").json(f"{folder}/next_best_actions")
-    beside = c.spark.read.schema("n_customers bigint").json(f"{folder}/portfolio").select(F.col("n_customers").alias("n_rows")).join(
-        c.spark.read.schema("as_of string").json(f"{folder}/meta"))
-    return rows.join(beside).select(
+    n_rows = c.spark.read.schema("n_customers bigint").json(f"{folder}/portfolio").scalar()
+    as_of = c.spark.read.schema("as_of string").json(f"{folder}/meta").scalar()
+    return rows.withColumns({"n_rows": n_rows, "as_of": as_of}).select(
         "customer_id", "next_renewal_date", "risk_score", driver_text(F.col("risk_drivers")).alias("risk_drivers"),
         F.array_join("evidence", ",").alias("evidence"), "n_rows", "as_of")
 
