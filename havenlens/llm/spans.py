@@ -8,6 +8,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType
 
 from havenlens.llm.common import join_keys, row_columns, slices, stored, texts, with_row
 
@@ -22,13 +23,19 @@ def digest(content: bytes) -> bytes:
 
 def units(docs: DataFrame, cut: Callable[[bytes], Iterator[Unit]], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per unit of every whole text, numbered by place, with its digest. Null texts have none."""
+    rows = with_row(docs, text_col, id_col).select("doc_id", "row_key", "text")
+    return cut_rows(rows, cut, docs.schema[id_col].dataType)
+
+
+def cut_rows(rows: DataFrame, cut: Callable[..., Iterator[Unit]], kind: DataType, *more: str) -> DataFrame:
+    """The same for rows of (doc_id, row_key, text); `cut` gets the values of the columns `more` behind the text."""
     names = ["doc_id", "row_key", "place", "first", "last", "words", "digest"]
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
             of, found = [], []
-            for row, text in enumerate(texts(batch["text"])):
-                own = [(place, *unit) for place, unit in enumerate(cut(text))]
+            for row, (text, *rest) in enumerate(zip(texts(batch["text"]), *[batch[c].to_pylist() for c in more])):
+                own = [(place, *unit) for place, unit in enumerate(cut(text, *rest))]
                 of += [row] * len(own)
                 found += own
             columns = list(zip(*found)) if found else [[]] * 5
@@ -38,20 +45,22 @@ def units(docs: DataFrame, cut: Callable[[bytes], Iterator[Unit]], id_col: str =
                  pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.int64()), pa.array(columns[3], pa.int32()),
                  pa.array(columns[4], pa.binary())], names)
 
-    rows = with_row(docs, text_col, id_col).select("doc_id", "row_key", "text")
-    return rows.mapInArrow(make, UNITS.format(id=docs.schema[id_col].dataType.simpleString()))
+    return rows.mapInArrow(make, UNITS.format(id=kind.simpleString()))
 
 
-def later_occurrences(found: DataFrame) -> DataFrame:
+def later_occurrences(found: DataFrame, other_rows: bool = False) -> DataFrame:
     """The units whose digest has an occurrence that ranks before: a smaller doc_id (nulls last), row_key or place.
 
+    With `other_rows` those of the row that holds the earliest one do not count as later.
+
     Digests are counted with map-side combining, so a unit that a third of all documents hold meets as one row per task;
     only digests that repeat are joined back, the frequent ones by broadcast under a proven bound.
     """
     rank = F.struct(F.col("doc_id").isNull().alias("last_"), "doc_id", "row_key", "place")
     repeats = stored(
         found.groupBy("digest").agg(F.count("*").alias("n"), F.min(rank).alias("earliest")).where("n > 1"), "repeats")
-    later = join_keys(found, repeats, "digest", "n").where(rank != F.col("earliest"))
+    later = join_keys(found, repeats, "digest", "n").where(
+        F.col("row_key") != F.col("earliest.row_key") if other_rows else rank != F.col("earliest"))
     return later.withColumn("origin", F.col("earliest.doc_id")).drop("n", "earliest", "digest")
 
 

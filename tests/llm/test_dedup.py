@@ -141,3 +141,26 @@ def test_a_line_of_a_third_of_all_documents(spark):
 
 def test_merged():
     assert spans.merged([(5, 7), (0, 2), (2, 3), (6, 9), (6, 6)]) == [(0, 3), (5, 9)]
+
+
+def flat(seed: int, n: int) -> str:
+    """Prose of n words without a stop."""
+    return " ".join(prose(seed, n).replace(".", "").split()[:n])
+
+
+def test_passages_inside_sentences(spark):
+    """Passages without a stop inside, glued to other words at both ends; of 50 words they stay, of 51 they go."""
+    long, least, short = flat(80, 70), flat(81, 51), flat(82, 50)
+    line, own = flat(83, 400), [flat(90 + i, 20) for i in range(12)]
+    docs = spark.createDataFrame([
+        (1, f"{own[0]} {long} {own[1]}"), (2, f"{own[2]} {long.upper()} {own[3]}"), (3, f"Some. {own[4]} {least}, {own[5]}"),
+        (4, f"{own[6]} {least}, {own[7]}"), (5, f"{own[8]} {short} {own[9]}"), (6, f"{own[10]} {short} {own[11]}"),
+        (7, line), (8, f"before\n{line} after"), (9, f"one more {long.replace(' ', '  ')}"), (10, f"{own[0]} {long} {own[1]}"),
+        (11, " ".join(["again"] * 300)), (None, f"a {line}")], "doc_id long, text string").repartition(4)
+    cut = {r.doc_id: r for r in substring.without_repeated_passages(docs).collect()}
+    text = {i: " ".join(r.text.split()) for i, r in cut.items()}
+    assert text[2] == f"{own[2]} {own[3]}" and cut[2].origins == [1] and len(cut[2].spans) == 1
+    assert text[4] == f"{own[6]} {own[7]}"
+    assert text[8] == "before after" and text[9] == "one more" and text[10] == "" and text[None] == "a"
+    for i in (1, 3, 5, 6, 7, 11):
+        assert cut[i].text == cut[i].row.text and not cut[i].spans, i
