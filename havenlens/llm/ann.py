@@ -15,6 +15,8 @@ from havenlens.llm.common import join_keys, stored
 TABLES, AXES, PROBES = 8, 1, 20
 #: Vectors and queries of a cell that one task compares at a time.
 CELL_VECTORS, CELL_QUERIES = 8192, 2048
+#: Where there are no more vectors of a length than this, each query is compared with all of them.
+FEW_VECTORS = 500
 SEED = 7
 
 
@@ -86,8 +88,9 @@ def search(vectors: DataFrame, is_query: str, k: int = 20, tables: int = TABLES,
     Equal vectors are one: of their ids the k + 1 smallest are kept, which is all that can be among k nearest, and equal
     queries are searched once. A cell with more than `cell_vectors` vectors or `cell_queries` queries is compared in
     blocks, each a task of its own, so that no cell is too large for one. Vectors that are null, zero or hold null or
-    non-finite components take no part; of rows with equal ids one vector is kept (the smallest). With fewer than k
-    candidates found, all are returned.
+    non-finite components take no part; of rows with equal ids one vector is kept (the smallest). A query whose cells hold
+    fewer than k others, or with no more than FEW_VECTORS vectors to meet, is compared with all vectors of its length, in
+    blocks too, so that every query gets k rows or as many as there are candidates.
     """
     rows = stored(usable(vectors, id_col, vector_col).withColumn("is_query", F.coalesce(F.expr(is_query), F.lit(False))), "vectors")
     by_id = Window.partitionBy("embedding").orderBy("vec_id")
@@ -97,6 +100,26 @@ def search(vectors: DataFrame, is_query: str, k: int = 20, tables: int = TABLES,
     index = _cells(ids, "ids", tables, axes, 1)
     queries = _cells(asked, "n", tables, axes, probes)
 
+    near = stored(_lists(index, queries, k, cell_vectors, cell_queries), "near")
+    length = F.size("embedding").alias("cell")
+    few = ids.groupBy(length).agg(F.count("*").alias("n_vectors")).where(F.col("n_vectors") <= FEW_VECTORS).select("cell")
+    full = near.where(F.size("hits") > k).select("key", F.lit(True).alias("full"))
+    short = stored(
+        asked.select(length, "key", "n", "embedding").join(full, "key", "left")
+        .join(F.broadcast(few.withColumn("few", F.lit(True))), "cell", "left").where("full IS NULL OR few")
+        .select("cell", "key", "n", "embedding"), "short")
+    every = _lists(ids.select(length, "key", "ids", "embedding"), short, k, cell_vectors, cell_queries)
+    lists = near.join(short.select("key"), "key", "left_anti").unionByName(every)
+    lists = stored(lists.join(asked.select("key", "n"), "key"), "nearest")
+    people = rows.where("is_query").select("vec_id", "embedding").join(
+        asked.select("embedding", "key"), "embedding").select(F.col("vec_id").alias("query_id"), "key")
+    own = F.slice(F.filter("hits", lambda h: h.getField("vec_id") != F.col("query_id")), 1, k)
+    return join_keys(people, lists, "key", "n").select("query_id", F.posexplode(own).alias("at", "hit")).select(
+        "query_id", (F.col("at") + 1).cast("int").alias("rank"), "hit.vec_id", "hit.score")
+
+
+def _lists(index: DataFrame, queries: DataFrame, k: int, cell_vectors: int, cell_queries: int) -> DataFrame:
+    """(key, hits): for each query the k + 1 nearest ids among the vectors of its cells, nearest first."""
     # blocks of a cell: every block of its vectors meets every block of its queries
     sizes = stored(
         index.groupBy("cell").agg(F.ceil(F.count("*") / cell_vectors).cast("int").alias("v_blocks"))
@@ -112,15 +135,9 @@ def search(vectors: DataFrame, is_query: str, k: int = 20, tables: int = TABLES,
     best = found.select("key", F.inline(F.arrays_zip("vec_ids", "scores"))).groupBy("key", F.col("vec_ids").alias("vec_id")).agg(
         F.max("scores").alias("score"))
     nearest = Window.partitionBy("key").orderBy(F.desc("score"), "vec_id")
-    lists = (
+    return (
         best.withColumn("nth", F.row_number().over(nearest)).where(F.col("nth") <= k + 1)
         .groupBy("key").agg(F.sort_array(F.collect_list(F.struct("nth", "vec_id", "score"))).alias("hits")))
-    lists = stored(lists.join(asked.select("key", "n"), "key"), "nearest")
-    people = rows.where("is_query").select("vec_id", "embedding").join(
-        asked.select("embedding", "key"), "embedding").select(F.col("vec_id").alias("query_id"), "key")
-    own = F.slice(F.filter("hits", lambda h: h.getField("vec_id") != F.col("query_id")), 1, k)
-    return join_keys(people, lists, "key", "n").select("query_id", F.posexplode(own).alias("at", "hit")).select(
-        "query_id", (F.col("at") + 1).cast("int").alias("rank"), "hit.vec_id", "hit.score")
 
 
 def _cells(vectors: DataFrame, payload: str, tables: int, axes: int, probes: int) -> DataFrame:

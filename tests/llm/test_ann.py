@@ -92,3 +92,29 @@ def test_recall_of_the_query(spark):
     assert got.keys() == want.keys() and all(len(hits) == 20 for hits in got.values())
     hit = sum(len({i for i, _ in got[q]} & {i for i, _ in want[q]}) for q in want)
     assert hit >= 0.95 * 20 * len(want)
+
+
+def exactly(spark, rows, is_query, where, k=20):
+    df = spark.createDataFrame([(i, v) for i, v in rows], "vec_id long, embedding array<float>").repartition(3)
+    got, want = result(ann.search(df, where, k=k)), brute(rows, is_query, k)
+    assert got.keys() == want.keys()
+    for q in want:
+        assert [i for i, _ in got[q]] == [i for i, _ in want[q]], q
+    return got
+
+
+@pytest.mark.parametrize("n", [2, 10, 60])
+def test_few_vectors_all_meet(spark, n):
+    chance = np.random.default_rng(n)
+    rows = [(i, [float(np.float32(x)) for x in chance.normal(size=64)]) for i in range(n)]
+    got = exactly(spark, rows, lambda q: True, "true")
+    assert all(len(hits) == min(20, n - 1) for hits in got.values())
+
+
+def test_queries_that_face_away_from_all_others_get_whole_lists(spark):
+    chance = np.random.default_rng(5)
+    middle = chance.normal(size=64)
+    rows = [(100 + i, middle + chance.normal(0, 0.01, 64)) for i in range(2000)] + [(i, -middle + chance.normal(0, 0.01, 64)) for i in range(15)]
+    rows = [(i, [float(np.float32(x)) for x in v]) for i, v in rows]
+    got = exactly(spark, rows, lambda q: q < 15, "vec_id < 15")
+    assert len(got) == 15 and all(len(hits) == 20 for hits in got.values())
