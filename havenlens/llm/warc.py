@@ -115,7 +115,8 @@ def parse_record(data: bytes, start: int) -> tuple[Record, int]:
     """The record that starts there, and where it ends. Damaged if a check fails."""
     if data[start:start + 5] != b"WARC/":
         raise Damaged("no version line")
-    head_end = data.find(b"\r\n\r\n", start, start + (1 << 20))
+    following = data.find(b"\nWARC/", start)  # a header ends before the next version line
+    head_end = data.find(b"\r\n\r\n", start, len(data) if following < 0 else following + 1)
     if head_end < 0:
         raise Damaged("header does not end")
     lines = data[start:head_end].decode("utf-8", "replace").split("\r\n")

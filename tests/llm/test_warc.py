@@ -132,3 +132,15 @@ def test_quarantine_shows_in_the_table(spark, tmp_path):
     rows = warc.read_archives(spark, str(tmp_path)).collect()
     gap = [r for r in rows if r.reason]
     assert len(rows) == 6 and len(gap) == 1 and (gap[0].first, gap[0].last) == (len(members[0]), len(members[0]) + len(members[1]))
+
+
+def test_a_very_long_url(spark, tmp_path):
+    """A header of over a MiB is read, alone and between others; one without an end does not take the next record along."""
+    url = "http://x/" + "ü b" * 600_000
+    df = spark.createDataFrame([(1, "u", "one"), (2, url, "two"), (3, "u", "three")], "page_id long, url string, html string")
+    rows = {r.record_id: r for r in warc.round_trip(df.coalesce(1), str(tmp_path / "long")).collect()}
+    assert len(rows) == 3 and not any(r.reason for r in rows.values())
+    got = rows["<urn:havenlens:page:2>"]
+    assert bytes(got.payload) == b"two" and got.target_uri == url.replace(" ", "%20")
+    plain, _ = made(3)
+    assert read(plain[0] + b"WARC/1.1\r\nWARC-Target-URI: " + b"x" * 2_000_000 + b"\n" + plain[1])[0] == [0, 1]
