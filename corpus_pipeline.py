@@ -28,7 +28,7 @@ def step(stage):
 
 @step
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a language that the labelled ones teach; texts without a letter go."""
+    """Documents with a letter. Any text is given the nearest language that labels teach, so one in another language stays."""
     return langid.keep_known(docs, langid.fit(docs, F.expr(f"{FOLD} != 2")))
 
 

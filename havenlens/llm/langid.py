@@ -169,7 +169,11 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
 
 
 def keep_known(docs: DataFrame, model: Model, least_score: float = 0.0, text_col: str = "text") -> DataFrame:
-    """The rows, with all their columns, whose text is in a language that the model knows with at least that score."""
+    """The rows, with all their columns, whose text is given a language with at least that score.
+
+    A text with a letter always gets a language that the model knows, also if it is written in another one, and a score
+    above 0. So with the default only texts without a letter (UNKNOWN) go, or all if the model knows no language.
+    """
     rows = docs.select(F.struct(*[docs[f"`{c}`"].alias(c) for c in docs.columns]).alias("row"), docs[text_col].alias("text"))
     told = rows.mapInArrow(
         _predictor(model, ["row"]), f"row {rows.schema['row'].dataType.simpleString()}, lang_pred string, score double")
