@@ -10,7 +10,7 @@ import tiktoken
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from llm.conftest import edge_rows
+from llm.corpus_rows import edge_rows
 from havenlens.llm import bpe
 from havenlens.llm.chunks import ChunkEncoder
 

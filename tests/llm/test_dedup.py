@@ -3,7 +3,7 @@ from __future__ import annotations
 
 import re
 
-from llm.conftest import edge_rows, prose
+from llm.corpus_rows import edge_rows, prose
 from havenlens.llm import linededup, spans, substring
 
 BLANKS = " \t\n\x0b\x0c\r"

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from llm.conftest import edge_rows
+from llm.corpus_rows import edge_rows
 from havenlens.llm import langid
 
 FOLDER = "/root/testdata/sf0.01"

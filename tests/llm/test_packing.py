@@ -9,7 +9,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from llm.conftest import edge_rows, prose
+from llm.corpus_rows import edge_rows, prose
 from havenlens.llm import packing
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")

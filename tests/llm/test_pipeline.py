@@ -17,7 +17,7 @@ import corpus_pipeline
 from compare import connect, differences
 from havenlens.llm import queries
 from llm import test_dedup, test_simhash
-from llm.conftest import prose
+from llm.corpus_rows import prose
 
 FOLDER = "/root/testdata/sf0.001"
 COLUMNS = "doc_id long, text string, lang string, source string, n_chars long"

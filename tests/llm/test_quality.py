@@ -3,7 +3,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 
-from llm.conftest import edge_rows
+from llm.corpus_rows import edge_rows
 from havenlens.llm import quality
 
 

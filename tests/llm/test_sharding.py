@@ -2,7 +2,7 @@ from __future__ import annotations
 
 import zlib
 
-from llm.conftest import edge_rows
+from llm.corpus_rows import edge_rows
 from havenlens.llm import sharding
 
 

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from llm.conftest import edge_rows, prose
+from llm.corpus_rows import edge_rows, prose
 from havenlens.llm import simhash
 from havenlens.llm.components import connected_components
 
