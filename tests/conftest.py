@@ -6,12 +6,11 @@ from pathlib import Path
 
 import pytest
 
-sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
+sys.path[:0] = [str(Path(__file__).resolve().parents[1]), str(Path(__file__).resolve().parent)]
 
 from havenlens import schemas  # noqa: E402
 from havenlens.session import build_session  # noqa: E402
-
-AS_OF = dt.date(2001, 11, 5)
+from sample_days import AS_OF, at, day  # noqa: E402
 
 
 @pytest.fixture(scope="session")
@@ -34,14 +33,6 @@ def rows(spark):
     return make
 
 
-def day(offset: int) -> dt.date:
-    return AS_OF + dt.timedelta(days=offset)
-
-
-def at(offset: int, hour: int = 0) -> dt.datetime:
-    return dt.datetime.combine(day(offset), dt.time(hour))
-
-
 @pytest.fixture(scope="session")
 def sample(spark, rows, tmp_path_factory):
     """Hand-made edge rows, one customer per situation, written once."""

@@ -1,6 +1,6 @@
 from __future__ import annotations
 
-from conftest import AS_OF, day
+from sample_days import AS_OF, day
 
 from havenlens import constants as K
 from havenlens.operators import customer360

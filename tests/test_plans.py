@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from conftest import AS_OF
+from sample_days import AS_OF
 
 from havenlens.operators import customer360
 

@@ -3,7 +3,7 @@ from __future__ import annotations
 import datetime as dt
 
 import pytest
-from conftest import AS_OF
+from sample_days import AS_OF
 from pyspark.sql import functions as F
 
 from havenlens import constants as K

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+import subprocess
+import sys
 
 import pytest
 
@@ -32,3 +34,18 @@ def test_every_query_has_a_check():
 @pytest.mark.parametrize("name", NAMES)
 def test_query_agrees_with_its_check(spark, con, name):
     assert differences(entry.queries()[name](spark, FOLDER), con, entry.oracle_sql()[name]) == []
+
+
+@pytest.mark.parametrize("gone", ["corpus_pipeline", "havenlens.llm", "ahocorasick", "tokenizers"])
+def test_the_rest_is_registered_whatever_the_corpus_operators_lack(gone):
+    code = (
+        "import sys\n"
+        "class Gone:\n"
+        "    def find_spec(self, name, path=None, target=None):\n"
+        f"        if name.startswith({gone!r}):\n"
+        "            raise ModuleNotFoundError(name, name=name)\n"
+        "sys.meta_path.insert(0, Gone())\n"
+        "import __spark_entry__ as e\n"
+        "from havenlens.plans import registry\n"
+        "assert set(e.queries()) == set(registry.QUERIES) and set(e.oracle_sql()) == set(registry.CHECKS)\n")
+    subprocess.run([sys.executable, "-W", "ignore", "-c", code], check=True, cwd=os.path.dirname(entry.__file__))

@@ -5,7 +5,7 @@ import json
 from pathlib import Path
 
 import pytest
-from conftest import AS_OF
+from sample_days import AS_OF
 from pyspark.sql import functions as F
 
 from havenlens import schemas
