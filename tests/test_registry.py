@@ -36,7 +36,7 @@ def test_query_agrees_with_its_check(spark, con, name):
     assert differences(entry.queries()[name](spark, FOLDER), con, entry.oracle_sql()[name]) == []
 
 
-@pytest.mark.parametrize("gone", ["corpus_pipeline", "havenlens.llm", "ahocorasick", "tokenizers"])
+@pytest.mark.parametrize("gone", ["corpus_pipeline", "havenlens.llm", "ahocorasick"])
 def test_the_rest_is_registered_whatever_the_corpus_operators_lack(gone):
     code = (
         "import sys\n"
