@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from havenlens.llm import ann, bpe, langid, linededup, packing, quality, sharding, simhash, substring, warc
+from havenlens.llm import ann, bpe, langid, linededup, packing, quality, sharding, simhash, spelling, substring, warc
 from havenlens.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -179,3 +179,9 @@ def _(spark, folder):
 @query("op10_cross_polytope")
 def _(spark, folder):
     return ann.search(read(spark, folder, "embeddings"), "vec_id % 20 = 0", k=20)
+
+
+@query("op13_spelling_variants")
+def _(spark, folder):
+    words = spelling.count_words(read(spark, folder, "documents"), least_length=7, least_count=2, damage=31)
+    return spelling.variants(words, ratio=10)
