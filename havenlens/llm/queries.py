@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from havenlens.llm import ann, bpe, hardneg, langid, linededup, packing, quality, sharding, simhash, spelling, substring, warc
+from havenlens.llm import ann, binpack, bpe, hardneg, langid, linededup, packing, quality, sharding, simhash, spelling, substring, warc
 from havenlens.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -198,6 +198,11 @@ def _(spark, folder):
     return hardneg.mine(hardneg.scaled(rows, 256), "vec_id % 100 = 0", positives=5, negatives=10, low=30, high=90)
 
 
+@query("op12_minimum_slack")
+def _(spark, folder):
+    return binpack.pack(read(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=2, size=1024).drop("ids")
+
+
 @query("op13_spelling_variants")
 def _(spark, folder):
     words = spelling.count_words(read(spark, folder, "documents"), least_length=7, least_count=2, damage=31)
