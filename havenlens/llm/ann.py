@@ -12,11 +12,11 @@ from pyspark.sql import functions as F
 from havenlens.llm.common import join_keys, stored
 
 #: Tables, polytopes per table, and cells that a query looks at in each table.
-TABLES, AXES, PROBES = 8, 1, 20
+TABLES, AXES, PROBES = 8, 1, 16
 #: Vectors and queries of a cell that one task compares at a time.
 CELL_VECTORS, CELL_QUERIES = 8192, 2048
-#: Where there are no more vectors of a length than this, each query is compared with all of them.
-FEW_VECTORS = 500
+#: A query that meets fewer vectors in its cells than this many times what it asks for, all tables together, meets all.
+ENOUGH = 10
 SEED = 7
 
 
@@ -88,9 +88,9 @@ def search(vectors: DataFrame, is_query: str, k: int = 20, tables: int = TABLES,
     Equal vectors are one: of their ids the k + 1 smallest are kept, which is all that can be among k nearest, and equal
     queries are searched once. A cell with more than `cell_vectors` vectors or `cell_queries` queries is compared in
     blocks, each a task of its own, so that no cell is too large for one. Vectors that are null, zero or hold null or
-    non-finite components take no part; of rows with equal ids one vector is kept (the smallest). A query whose cells hold
-    fewer than k others, or with no more than FEW_VECTORS vectors to meet, is compared with all vectors of its length, in
-    blocks too, so that every query gets k rows or as many as there are candidates.
+    non-finite components take no part; of rows with equal ids one vector is kept (the smallest). A query whose cells are
+    so empty that it finds fewer than k others, or meets fewer than ENOUGH × k vectors in all tables together, is compared
+    with all vectors of its length, in blocks too, so that every query gets k rows or as many as there are candidates.
     """
     rows = stored(usable(vectors, id_col, vector_col).withColumn("is_query", F.coalesce(F.expr(is_query), F.lit(False))), "vectors")
     by_id = Window.partitionBy("embedding").orderBy("vec_id")
@@ -102,12 +102,8 @@ def search(vectors: DataFrame, is_query: str, k: int = 20, tables: int = TABLES,
 
     near = stored(_lists(index, queries, k, cell_vectors, cell_queries), "near")
     length = F.size("embedding").alias("cell")
-    few = ids.groupBy(length).agg(F.count("*").alias("n_vectors")).where(F.col("n_vectors") <= FEW_VECTORS).select("cell")
-    full = near.where(F.size("hits") > k).select("key", F.lit(True).alias("full"))
-    short = stored(
-        asked.select(length, "key", "n", "embedding").join(full, "key", "left")
-        .join(F.broadcast(few.withColumn("few", F.lit(True))), "cell", "left").where("full IS NULL OR few")
-        .select("cell", "key", "n", "embedding"), "short")
+    full = near.where((F.size("hits") > k) & (F.col("met") >= ENOUGH * k)).select("key")
+    short = stored(asked.select(length, "key", "n", "embedding").join(full, "key", "left_anti"), "short")
     every = _lists(ids.select(length, "key", "ids", "embedding"), short, k, cell_vectors, cell_queries)
     lists = near.join(short.select("key"), "key", "left_anti").unionByName(every)
     lists = stored(lists.join(asked.select("key", "n"), "key"), "nearest")
@@ -119,7 +115,10 @@ def search(vectors: DataFrame, is_query: str, k: int = 20, tables: int = TABLES,
 
 
 def _lists(index: DataFrame, queries: DataFrame, k: int, cell_vectors: int, cell_queries: int) -> DataFrame:
-    """(key, hits): for each query the k + 1 nearest ids among the vectors of its cells, nearest first."""
+    """(key, hits, met): for each query the k + 1 nearest ids among the vectors of its cells, nearest first.
+
+    met is the number of vectors it was compared with, those of several tables counted in each.
+    """
     # blocks of a cell: every block of its vectors meets every block of its queries
     sizes = stored(
         index.groupBy("cell").agg(F.ceil(F.count("*") / cell_vectors).cast("int").alias("v_blocks"))
@@ -131,13 +130,15 @@ def _lists(index: DataFrame, queries: DataFrame, k: int, cell_vectors: int, cell
         "cell", F.pmod(F.xxhash64("key"), "q_blocks").cast("int").alias("q"), F.explode(F.sequence(F.lit(0), F.col("v_blocks") - 1)).alias("v"),
         "key", "embedding")
     found = left.groupBy("cell", "v", "q").cogroup(right.groupBy("cell", "v", "q")).applyInArrow(
-        _compare(k), "key bigint, vec_ids array<bigint>, scores array<double>")
+        _compare(k), "key bigint, vec_ids array<bigint>, scores array<double>, met bigint")
+    found = stored(found, "compared")
     best = found.select("key", F.inline(F.arrays_zip("vec_ids", "scores"))).groupBy("key", F.col("vec_ids").alias("vec_id")).agg(
         F.max("scores").alias("score"))
     nearest = Window.partitionBy("key").orderBy(F.desc("score"), "vec_id")
-    return (
+    hits = (
         best.withColumn("nth", F.row_number().over(nearest)).where(F.col("nth") <= k + 1)
         .groupBy("key").agg(F.sort_array(F.collect_list(F.struct("nth", "vec_id", "score"))).alias("hits")))
+    return hits.join(found.groupBy("key").agg(F.sum("met").alias("met")), "key")
 
 
 def _cells(vectors: DataFrame, payload: str, tables: int, axes: int, probes: int) -> DataFrame:
@@ -173,7 +174,7 @@ def _cells(vectors: DataFrame, payload: str, tables: int, axes: int, probes: int
 def _compare(k: int):
     """Of the vectors of a block the k + 1 ids nearest to each of its queries, with exact scores."""
     def compare(vectors: pa.Table, queries: pa.Table) -> pa.Table:
-        out = ([], [], [])
+        out = ([], [], [], [])
         if vectors.num_rows and queries.num_rows:
             size = len(vectors["embedding"][0])
             x = matrix(vectors["embedding"].combine_chunks(), size)
@@ -194,7 +195,8 @@ def _compare(k: int):
                     out[0].append(keys[start + row])
                     out[1].append([i for _, i in hits])
                     out[2].append([-s for s, _ in hits])
-        return pa.table([pa.array(out[0], pa.int64()), pa.array(out[1], pa.list_(pa.int64())), pa.array(out[2], pa.list_(pa.float64()))],
-                        ["key", "vec_ids", "scores"])
+                    out[3].append(len(x))
+        return pa.table([pa.array(out[0], pa.int64()), pa.array(out[1], pa.list_(pa.int64())), pa.array(out[2], pa.list_(pa.float64())),
+                         pa.array(out[3], pa.int64())], ["key", "vec_ids", "scores", "met"])
 
     return compare

@@ -94,6 +94,16 @@ def test_recall_of_the_query(spark):
     assert hit >= 0.95 * 20 * len(want)
 
 
+@pytest.mark.parametrize("n", [150, 250, 500, 501])
+def test_recall_of_fewer_vectors(spark, n):
+    rows = [(r.vec_id, list(r.embedding)) for r in spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").where(f"vec_id < {n}").collect()]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(2)
+    got, want = result(ann.search(df, "vec_id % 5 = 0", k=20)), brute(rows, lambda q: q % 5 == 0, 20)
+    assert got.keys() == want.keys() and all(len(hits) == 20 for hits in got.values())
+    hit = sum(len({i for i, _ in got[q]} & {i for i, _ in want[q]}) for q in want)
+    assert hit >= 0.9 * 20 * len(want), hit / 20 / len(want)
+
+
 def exactly(spark, rows, is_query, where, k=20):
     df = spark.createDataFrame([(i, v) for i, v in rows], "vec_id long, embedding array<float>").repartition(3)
     got, want = result(ann.search(df, where, k=k)), brute(rows, is_query, k)
