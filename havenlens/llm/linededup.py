@@ -35,7 +35,7 @@ def without_repeated_lines(docs: DataFrame, size: int = WINDOW, id_col: str = "d
     text rank as one document and lose the same lines; null ids rank last. Other columns are carried along in `row`.
     """
     windows = stored(spans.units(docs, lambda text: line_windows(text, size), id_col, text_col), "windows")
-    return spans.without(docs, spans.later_occurrences(windows), list, id_col, text_col)
+    return spans.without(docs, spans.later_occurrences(windows), lambda hits, _: hits, id_col, text_col)
 
 
 def deduplicate(docs: DataFrame, size: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

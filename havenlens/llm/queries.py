@@ -126,17 +126,22 @@ def _(spark, folder):
 
 
 @query("op8_repeated_passages", rf"""
-WITH cut AS (SELECT doc_id, string_split(regexp_replace(text, '([.!?]+[ \t]+|\n+)', '\1' || chr(31), 'g'), chr(31)) AS a
+WITH cut AS (SELECT doc_id, regexp_extract_all(text, '^[\x20\x09-\x0D]+|[^\x20\x09-\x0D]+[\x20\x09-\x0D]*') AS a
              FROM documents WHERE text IS NOT NULL),
-parts AS (SELECT doc_id, unnest(a) AS tile, generate_subscripts(a, 1) AS i FROM cut),
-tiles AS (SELECT doc_id, i, tile, sum(strlen(tile)) OVER (PARTITION BY doc_id ORDER BY i) - strlen(tile) AS first, {NORMAL.format('tile')} AS norm
-          FROM parts),
-units AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS place, first, first + strlen(tile) AS last, norm,
-                 len(string_split(norm, ' ')) AS words FROM tiles WHERE norm <> ''),
+tokens AS (SELECT doc_id, n, token, {NORMAL.format('token')} AS word
+           FROM (SELECT doc_id, unnest(a) AS token, generate_subscripts(a, 1) AS n FROM cut) t),
+ends AS (SELECT *, word <> '' AND (contains(token, chr(10)) OR (7 * instr('123456789ABCDEF', substr(hex(word), 2, 1))
+                + 13 * instr('123456789ABCDEF', right(hex(word), 1)) + 5 * strlen(word)) % 16 < 3) AS last FROM tokens),
+numbered AS (SELECT *, coalesce(sum(last::INTEGER) OVER (PARTITION BY doc_id ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING
+                                                         AND 1 PRECEDING), 0) AS i FROM ends),
+parts AS (SELECT doc_id, i, string_agg(token, '' ORDER BY n) AS tile, string_agg(word, ' ' ORDER BY n) FILTER (word <> '') AS norm,
+                 count(*) FILTER (word <> '') AS words FROM numbered GROUP BY doc_id, i),
+tiles AS (SELECT *, sum(strlen(tile)) OVER (PARTITION BY doc_id ORDER BY i) - strlen(tile) AS first FROM parts),
+units AS (SELECT doc_id, i AS place, first, first + strlen(tile) AS last, norm, words FROM tiles WHERE norm IS NOT NULL),
 later AS (SELECT * FROM (SELECT *, first_value(doc_id) OVER v AS origin, row_number() OVER v AS nth FROM units
                          WINDOW v AS (PARTITION BY norm ORDER BY doc_id, place)) t WHERE nth > 1),
 runs AS (SELECT *, place - row_number() OVER (PARTITION BY doc_id ORDER BY place) AS run FROM later),
-taken AS (SELECT doc_id, first, last, origin FROM runs QUALIFY sum(words) OVER (PARTITION BY doc_id, run) >= 10),
+taken AS (SELECT doc_id, first, last, origin FROM runs QUALIFY sum(words) OVER (PARTITION BY doc_id, run) >= 25),
 {KEPT}""")
 def _(spark, folder):
     return _told(substring.without_repeated_passages(read(spark, folder, "documents")))

@@ -8,7 +8,6 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DataType
 
 from havenlens.llm.common import join_keys, row_columns, slices, stored, texts, with_row
 
@@ -23,19 +22,13 @@ def digest(content: bytes) -> bytes:
 
 def units(docs: DataFrame, cut: Callable[[bytes], Iterator[Unit]], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per unit of every whole text, numbered by place, with its digest. Null texts have none."""
-    rows = with_row(docs, text_col, id_col).select("doc_id", "row_key", "text")
-    return cut_rows(rows, cut, docs.schema[id_col].dataType)
-
-
-def cut_rows(rows: DataFrame, cut: Callable[..., Iterator[Unit]], kind: DataType, *more: str) -> DataFrame:
-    """The same for rows of (doc_id, row_key, text); `cut` gets the values of the columns `more` behind the text."""
     names = ["doc_id", "row_key", "place", "first", "last", "words", "digest"]
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
             of, found = [], []
-            for row, (text, *rest) in enumerate(zip(texts(batch["text"]), *[batch[c].to_pylist() for c in more])):
-                own = [(place, *unit) for place, unit in enumerate(cut(text, *rest))]
+            for row, text in enumerate(texts(batch["text"])):
+                own = [(place, *unit) for place, unit in enumerate(cut(text))]
                 of += [row] * len(own)
                 found += own
             columns = list(zip(*found)) if found else [[]] * 5
@@ -45,34 +38,33 @@ def cut_rows(rows: DataFrame, cut: Callable[..., Iterator[Unit]], kind: DataType
                  pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.int64()), pa.array(columns[3], pa.int32()),
                  pa.array(columns[4], pa.binary())], names)
 
-    return rows.mapInArrow(make, UNITS.format(id=kind.simpleString()))
+    rows = with_row(docs, text_col, id_col).select("doc_id", "row_key", "text")
+    return rows.mapInArrow(make, UNITS.format(id=docs.schema[id_col].dataType.simpleString()))
 
 
-def later_occurrences(found: DataFrame, other_rows: bool = False) -> DataFrame:
+def later_occurrences(found: DataFrame) -> DataFrame:
     """The units whose digest has an occurrence that ranks before: a smaller doc_id (nulls last), row_key or place.
 
-    With `other_rows` those of the row that holds the earliest one do not count as later.
-
     Digests are counted with map-side combining, so a unit that a third of all documents hold meets as one row per task;
     only digests that repeat are joined back, the frequent ones by broadcast under a proven bound.
     """
     rank = F.struct(F.col("doc_id").isNull().alias("last_"), "doc_id", "row_key", "place")
     repeats = stored(
         found.groupBy("digest").agg(F.count("*").alias("n"), F.min(rank).alias("earliest")).where("n > 1"), "repeats")
-    later = join_keys(found, repeats, "digest", "n").where(
-        F.col("row_key") != F.col("earliest.row_key") if other_rows else rank != F.col("earliest"))
+    later = join_keys(found, repeats, "digest", "n").where(rank != F.col("earliest"))
     return later.withColumn("origin", F.col("earliest.doc_id")).drop("n", "earliest", "digest")
 
 
-def without(docs: DataFrame, hits: DataFrame, choose: Callable[[list[dict]], list[dict]],
+def without(docs: DataFrame, hits: DataFrame, choose: Callable[[list[dict], bytes], list[dict]],
             id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(row, doc_id, text, spans, origins): every row, its text without the chosen spans, and what was taken from where.
 
-    `choose` gets the hits of one text, in order of place, and returns those that go. spans are byte offsets in the original
-    text, merged and in order; origins the ids that hold the earliest occurrences of what went.
+    `choose` gets the hits of one text, in order of place, and the text, and returns what goes: first, last and origin of
+    each part. spans are byte offsets in the original text, merged and in order; origins the ids that hold the earliest
+    occurrences of what went.
     """
-    listed = hits.groupBy("doc_id", "row_key").agg(
-        F.sort_array(F.collect_set(F.struct("place", "first", "last", "words", "origin"))).alias("hits"))
+    told = [c for c in hits.columns if c not in ("doc_id", "row_key", "place")]
+    listed = hits.groupBy("doc_id", "row_key").agg(F.sort_array(F.collect_set(F.struct("place", *told))).alias("hits"))
     listed = listed.withColumnsRenamed({"doc_id": "hit_id", "row_key": "hit_key"})
     rows = with_row(docs, text_col, id_col)
     joined = rows.join(
@@ -87,12 +79,12 @@ def without(docs: DataFrame, hits: DataFrame, choose: Callable[[list[dict]], lis
         for batch in slices(batches, "row"):
             kept, spans, origins = batch["row"].field(text_col).to_pylist(), [], []
             for row, hits in enumerate(batch["hits"].to_pylist()):
-                gone = choose(hits) if hits else []
+                text = kept[row].encode() if hits else b""
+                gone = choose(hits, text) if hits else []
                 own = merged([(h["first"], h["last"]) for h in gone])
                 spans.append([{"first": a, "last": b} for a, b in own])
                 origins.append(sorted({h["origin"] for h in gone} - {None}))
                 if own:
-                    text = kept[row].encode()
                     ends = [0, *[x for span in own for x in span], len(text)]
                     kept[row] = b"".join(text[a:b] for a, b in zip(ends[::2], ends[1::2])).decode()
             yield pa.RecordBatch.from_arrays(

@@ -1,10 +1,8 @@
-"""Removal of passages that occur before, by hashes of normalised lines, paragraphs or their sentences, and of words."""
+"""Removal of passages that occur before, by hashes of normalised lines, paragraphs or parts of lines."""
 
 from __future__ import annotations
 
-import re
-from bisect import bisect_left
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from functools import partial
 
 import numpy as np
@@ -14,171 +12,111 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from havenlens.llm import spans
-from havenlens.llm.common import join_keys, slices, stored, texts, with_row
-
-#: Where a unit ends. A sentence also ends at a line's end, so that it is the finest part of a line.
-BREAKS = {
-    "sentence": re.compile(rb"[.!?]+[ \t]+|\n+"),
-    "line": re.compile(rb"\n"),
-    "paragraph": re.compile(rb"\n[ \t\r]*\n\s*"),
-}
+from havenlens.llm.common import slices, stored, texts, with_row
+
+#: A part of a line ends behind a word of which 7 × first byte + 13 × last byte + 5 × bytes, modulo 16, is below this.
+CUT_CLASSES = 3
 #: The fewest words in a run of repeated units that is removed.
-LEAST_WORDS = 10
-#: A passage of more words than this that another document has before goes wherever it starts and ends.
-LONG_PASSAGE = 50
-#: Words in the shingles by which documents that may share a long passage are found.
-SHINGLE = 8
-_WORD = re.compile(rb"[^\x20\x09-\x0D]+")
-
-
-def cut_units(text: bytes, kind: str = "sentence") -> Iterator[spans.Unit]:
-    """The units of a text that hold a word, each with the break that ends it; A-Z compare as a-z, blanks as one space."""
-    start = 0
-    for end in [*[m.end() for m in BREAKS[kind].finditer(text)], len(text)]:
-        words = text[start:end].lower().split()
-        if words:
-            yield start, end, len(words), spans.digest(b" ".join(words))
-        start = end
-
-
-def long_runs(hits: list[dict], least_words: int) -> list[dict]:
-    """The units in runs of neighbours that have that many words together."""
-    chosen, run = [], []
-    for hit in [*hits, None]:
-        if run and (hit is None or hit["place"] != run[-1]["place"] + 1):
-            if sum(h["words"] for h in run) >= least_words:
-                chosen += run
-            run = []
-        run.append(hit)
-    return chosen
+LEAST_WORDS = 25
+_BLANK = np.zeros(256, bool)
+_BLANK[[0x20, *range(0x09, 0x0E)]] = True
 
 
-def winnowed(words: list[bytes], size: int, within: int) -> tuple[np.ndarray, np.ndarray]:
-    """(places, hashes) of shingles of `size` words, so chosen that equal runs of `within` words have an equal choice in them.
+class Units:
+    """The units of a text: `words` and `ends`, how many words and bytes there are up to the end of each, and their contents.
 
-    Chosen is the shingle with the least hash of all that start and end in the run, the first one if some are equal.
+    A unit ends with the blanks behind its last word; what stands before the first word belongs to the first one. A "line"
+    ends where these blanks hold a line's end, a "paragraph" where they hold two, and a "part" where a line ends or a word of
+    the fixed class stands. So where parts end is told by the words themselves, and a passage is cut alike wherever it
+    stands, but for its first and last part. A-Z count as a-z.
     """
-    if len(words) < within:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    h = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
-    n = len(h) - size + 1
-    whole = np.zeros(n, np.uint64)
-    for k in range(size):
-        whole = (whole ^ h[k:k + n]) * np.uint64(0x9E3779B97F4A7C15)
-        whole ^= whole >> np.uint64(29)
-    step = within - size + 1
-    places = np.unique(np.lib.stride_tricks.sliding_window_view(whole, step).argmin(axis=1) + np.arange(n - step + 1))
-    return places, whole[places]
-
-
-def marks(docs: DataFrame, words: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, row_key, first, room, hash) of chosen shingles: at least one in every run of so many words.
-
-    room is the bytes that a run of so many words around the shingle takes at least.
-    """
-    names = ["doc_id", "row_key", "first", "room", "hash"]
-    size = min(SHINGLE, words)
 
+    def __init__(self, text: bytes, kind: str = "part"):
+        self._low = text.lower()
+        a = np.frombuffer(self._low, np.uint8)
+        self._blank = _BLANK[a]
+        edges = np.flatnonzero(np.diff(self._blank, prepend=True, append=True))
+        self._starts, self._stops = edges[::2], edges[1::2]
+        self._spaces = a == 0x20
+        if not len(edges):
+            self.words = self.ends = edges
+            return
+        behind = np.append(self._starts[1:], len(a))
+        breaks = np.append(0, np.cumsum(a == 0x0A))
+        breaks = breaks[behind] - breaks[self._stops]
+        if kind == "part":
+            first, last = a[self._starts].astype(np.int64), a[self._stops - 1].astype(np.int64)
+            ends = (breaks > 0) | ((7 * first + 13 * last + 5 * (self._stops - self._starts)) % 16 < CUT_CLASSES)
+        else:
+            ends = breaks >= (2 if kind == "paragraph" else 1)
+        ends[-1] = True
+        at = np.flatnonzero(ends)
+        self.words, self.ends = at + 1, behind[at]
+
+    def contents(self) -> Iterator[bytes]:
+        """The words of each unit, with single spaces between them."""
+        if not len(self.words):
+            return
+        from_word = np.append(0, self.words[:-1])
+        first, last = self._starts[from_word], self._stops[self.words - 1]
+        blanks, spaces = (np.append(0, np.cumsum(x)) for x in (self._blank, self._spaces))
+        between = self.words - from_word - 1
+        plain = (blanks[last] - blanks[first] == between) & (spaces[last] - spaces[first] == between)
+        for a, b, as_is in zip(first.tolist(), last.tolist(), plain.tolist()):
+            yield self._low[a:b] if as_is else b" ".join(self._low[a:b].split())
+
+
+def digests(docs: DataFrame, kind: str = "part", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, row_key, digests): the 64-bit digests of the units of each text, in order. Null texts have none."""
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
-            of, first, room, hashes = [], [], [], []
-            for row, text in enumerate(texts(batch["text"])):
-                places, found = winnowed(text.lower().split(), size, words)
-                if len(places):
-                    at = np.array([m.span() for m in _WORD.finditer(text)])
-                    of.append(np.full(len(places), row))
-                    first.append(at[places, 0])
-                    runs = at[words - 1:, 1] - at[:len(at) - words + 1, 0]
-                    around = np.lib.stride_tricks.sliding_window_view(
-                        np.pad(runs, words - size, constant_values=runs.max()), words - size + 1).min(axis=1)
-                    room.append(around[places])
-                    hashes.append(found.view(np.int64))
-            rows, first, room, hashes = (
-                pa.array(np.concatenate(c) if c else np.zeros(0, np.int64), pa.int64()) for c in (of, first, room, hashes))
-            yield pa.RecordBatch.from_arrays([batch["doc_id"].take(rows), batch["row_key"].take(rows), first, room, hashes], names)
-
-    kind = docs.schema[id_col].dataType.simpleString()
-    return with_row(docs, text_col, id_col).select("doc_id", "row_key", "text").mapInArrow(
-        make, f"doc_id {kind}, row_key bigint, first bigint, room bigint, hash bigint")
-
-
-def cut_runs(text: bytes, around: list[int], words: int) -> Iterator[spans.Unit]:
-    """Every run of so many words that holds one of the shingles that start there."""
-    at = [m.span() for m in _WORD.finditer(text)]
-    low = text.lower().split()
-    starts = [a for a, _ in at]
-    chosen: set[int] = set()
-    for first in around:
-        place = bisect_left(starts, first)
-        chosen.update(range(max(0, place + min(SHINGLE, words) - words), min(place, len(at) - words) + 1))
-    for k in sorted(chosen):
-        yield starts[k], at[k + words - 1][1], words, spans.digest(b" ".join(low[k:k + words]))
-
-
-def long_occurrences(docs: DataFrame, hits: DataFrame, kept_by: Callable[[list[dict]], list[dict]], words: int,
-                     id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Hits, with place -1, on runs of so many words that an earlier row has and of which units took nothing.
-
-    Marks tell where such runs can be: a mark that a later row holds where the units leave room for a run. All runs around
-    these marks, in all rows that hold them, are then compared whole.
-    """
-    found = stored(marks(docs, words, id_col, text_col), "marks")
-    repeats = stored(found.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1"), "marks_repeated")
-
-    def taken(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            spans_ = [[{"first": a, "last": b} for a, b in spans.merged([(h["first"], h["last"]) for h in kept_by(own)])]
-                      for own in batch["hits"].to_pylist()]
+            found, sizes = [], [0]
+            for text in texts(batch["text"]):
+                found += map(xxhash.xxh3_64_intdigest, Units(text, kind).contents())
+                sizes.append(len(found))
+            values = pa.array(np.array(found, np.uint64).view(np.int64))
             yield pa.RecordBatch.from_arrays(
-                [batch["row_key"], pa.array(spans_, pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())])))], ["row_key", "taken"])
-
-    gone = hits.groupBy("row_key").agg(F.sort_array(F.collect_set(F.struct("place", "first", "last", "words"))).alias("hits")).mapInArrow(
-        taken, "row_key bigint, taken array<struct<first: bigint, last: bigint>>")
-    # from the end of what is taken before the mark to the start of what is taken behind it
-    begin = F.array_max(F.transform(F.filter("taken", lambda s: s["first"] <= F.col("first")), lambda s: s["last"]))
-    end = F.array_min(F.transform(F.filter("taken", lambda s: s["first"] > F.col("first")), lambda s: s["first"]))
-    free = (F.coalesce(begin, F.lit(0)) <= F.col("first")) & F.coalesce(end - F.coalesce(begin, F.lit(0)) >= F.col("room"), F.lit(True))
-    shared = stored(join_keys(found, repeats, "hash", "n").drop("n").join(gone, "row_key", "left").withColumn("free", free).drop("taken"), "marks_shared")
-    rank = F.struct(F.col("doc_id").isNull().alias("last_"), "doc_id", "row_key")
-    left = stored(shared.groupBy("hash").agg(
-        F.count("*").alias("n"), F.min(rank).alias("earliest"), F.max(F.when(F.col("free"), rank)).alias("latest"))
-        .where("latest > earliest").select("hash", "n"), "marks_left")
-    around = join_keys(shared, left, "hash", "n").groupBy("row_key").agg(F.collect_set("first").alias("around"))
-    rows = with_row(docs, text_col, id_col).select("doc_id", "row_key", "text").join(around, "row_key")
-    runs = stored(spans.cut_rows(rows, partial(cut_runs, words=words), docs.schema[id_col].dataType, "around"), "runs")
-    return spans.later_occurrences(runs, other_rows=True).withColumn("place", F.lit(-1))
-
-
-def chosen(hits: list[dict], least_words: int) -> list[dict]:
-    """The units in long enough runs, and the long runs of words that none of these units meets."""
-    units = long_runs([h for h in hits if h["place"] >= 0], least_words)
-    own = spans.merged([(u["first"], u["last"]) for u in units])
-    starts = [a for a, _ in own]
-
-    def free(hit: dict) -> bool:
-        before = bisect_left(starts, hit["last"]) - 1  # the last span that starts before the hit ends
-        return before < 0 or own[before][1] <= hit["first"]
-
-    return units + [h for h in hits if h["place"] < 0 and free(h)]
-
-
-def without_repeated_passages(docs: DataFrame, kind: str = "sentence", least_words: int = LEAST_WORDS,
-                              id_col: str = "doc_id", text_col: str = "text", long_passage: int = LONG_PASSAGE) -> DataFrame:
+                [batch["doc_id"], batch["row_key"], pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), values)],
+                ["doc_id", "row_key", "digests"])
+
+    rows = with_row(docs, text_col, id_col).select("doc_id", "row_key", "text")
+    return rows.mapInArrow(make, f"doc_id {docs.schema[id_col].dataType.simpleString()}, row_key bigint, digests array<bigint>")
+
+
+def long_runs(hits: list[dict], text: bytes, kind: str, least_words: int) -> list[dict]:
+    """(first, last, origin) of the units in runs of neighbours that have that many words together."""
+    units = Units(text, kind)
+    ends, offsets = units.words.tolist(), units.ends.tolist()
+    starts, begins = [0, *ends], [0, *offsets]
+    chosen: list[dict] = []
+    run: list[dict] = []
+    for hit in [*hits, None]:
+        if run and (hit is None or hit["place"] > run[-1]["place"] + 1):
+            if ends[run[-1]["place"]] - starts[run[0]["place"]] >= least_words:
+                chosen += [{"first": begins[h["place"]], "last": offsets[h["place"]], "origin": h["origin"]} for h in run]
+            run = []
+        run.append(hit)
+    return chosen
+
+
+def without_repeated_passages(docs: DataFrame, kind: str = "part", least_words: int = LEAST_WORDS,
+                              id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(row, doc_id, text, spans, origins): the rows, their text without passages that occur before, what was removed.
 
-    Units are normalised and their digests grouped over all documents; the earliest occurrence by (doc_id, place) stays.
-    Neighbouring later occurrences form a run, and a run of at least `least_words` words goes: a stock phrase such as "Yes."
-    stays wherever it stands alone. More than `long_passage` words in a row that an earlier row has, and of which no unit
-    went, go too, wherever in a unit they start and end. spans are byte offsets into the original text. Empty and null
-    texts stay as they are; rows equal in id and text rank as one document and lose the same; null ids rank last.
+    Units are lines, paragraphs or, by default, parts of lines whose ends the words themselves tell. They are normalised
+    and their digests grouped over all documents; the earliest occurrence by (doc_id, place) stays. Neighbouring later
+    occurrences form a run, and a run of at least `least_words` words goes, so stock phrases stay. Of a passage inside other
+    words its first and last part are not seen, some five words each. spans are byte offsets into the original text. Empty
+    and null texts stay as they are; rows equal in id and text rank as one document and lose the same; null ids rank last.
+    Two units of equal digest are taken as equal; that two different ones meet in 64 bits and their neighbours repeat too, so
+    that they make a run, is not to be expected even among 10**12 units.
     """
-    found = stored(spans.units(docs, partial(cut_units, kind=kind), id_col, text_col), "units")
-    hits = stored(spans.later_occurrences(found), "hits")
-    hits = hits.unionByName(long_occurrences(docs, hits, partial(long_runs, least_words=least_words), long_passage + 1, id_col, text_col))
-    return spans.without(docs, hits, partial(chosen, least_words=least_words), id_col, text_col)
+    listed = stored(digests(docs, kind, id_col, text_col), "units")
+    found = listed.select("doc_id", "row_key", F.posexplode("digests").alias("place", "digest"))
+    return spans.without(docs, spans.later_occurrences(found), partial(long_runs, kind=kind, least_words=least_words), id_col, text_col)
 
 
-def deduplicate(docs: DataFrame, kind: str = "sentence", least_words: int = LEAST_WORDS, id_col: str = "doc_id",
+def deduplicate(docs: DataFrame, kind: str = "part", least_words: int = LEAST_WORDS, id_col: str = "doc_id",
                 text_col: str = "text") -> DataFrame:
     """The rows with the input's columns and the text cut; rows of which no word is left are gone."""
     return spans.same_rows(docs, without_repeated_passages(docs, kind, least_words, id_col, text_col), text_col)

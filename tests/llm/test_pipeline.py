@@ -57,7 +57,7 @@ def plain(docs):
     groups = test_simhash.brute_groups(prints.values(), 2)
     first = {min(i for i, _ in rows if prints[i] in g) for g in groups}
     rows = [(i, t) for i, t in rows if i in first]
-    return cut(rows, test_dedup.sentence_units, 10)
+    return cut(rows, test_dedup.part_units, 25)
 
 
 @pytest.fixture(scope="module")
