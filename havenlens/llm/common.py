@@ -17,13 +17,13 @@ def read(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Hand texts to Python workers some megabytes at a time, unless the session has been told how many rows.
+    """Hand texts to Python workers some megabytes at a time, unless the session has been told how many rows or bytes.
 
-    Spark's own 10,000 rows of whole texts are tens of megabytes on either side of every task.
+    Spark's own 10,000 rows or 64 MB of whole texts would be held several times over on either side of every task.
     """
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if spark.conf.get(key) == "10000":
-        spark.conf.set(key, str(rows))
+    for key, usual, ours in (("maxRecordsPerBatch", "10000", str(rows)), ("maxBytesPerBatch", "67108864b", "4m")):
+        if spark.conf.get(f"spark.sql.execution.arrow.{key}") == usual:
+            spark.conf.set(f"spark.sql.execution.arrow.{key}", ours)
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:

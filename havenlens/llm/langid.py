@@ -174,17 +174,18 @@ def keep_known(docs: DataFrame, model: Model, least_score: float = 0.0, text_col
     A text with a letter always gets a language that the model knows, also if it is written in another one, and a score
     above 0. So with the default only texts without a letter (UNKNOWN) go, or all if the model knows no language.
     """
-    rows = docs.select(F.struct(*[docs[f"`{c}`"].alias(c) for c in docs.columns]).alias("row"), docs[text_col].alias("text"))
+    rows = docs.select(F.struct(*[docs[f"`{c}`"].alias(c) for c in docs.columns]).alias("row"))
     told = rows.mapInArrow(
-        _predictor(model, ["row"]), f"row {rows.schema['row'].dataType.simpleString()}, lang_pred string, score double")
+        _predictor(model, ["row"], text_col), f"row {rows.schema['row'].dataType.simpleString()}, lang_pred string, score double")
     return told.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least_score)).select("row.*")
 
 
-def _predictor(model: Model, passed: list[str]):
+def _predictor(model: Model, passed: list[str], inside: str | None = None):
+    """Passes columns on with the language of the column text, or of the field `inside` of the column row."""
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text", 1 << 20):
+        for batch in slices(batches, "row" if inside else "text", 1 << 20):
             found, scores = [], []
-            contents = texts(batch["text"])
+            contents = texts(batch["row"].field(inside) if inside else batch["text"])
             for start in range(0, len(contents), 256):
                 part = contents[start:start + 256]
                 langs, score = model.predict(np.stack([features(t) for t in part]))
