@@ -15,11 +15,12 @@ from havenlens import schemas
 from havenlens.functions import churn
 from havenlens.functions import text as tx
 from havenlens.functions.numeric import fixed, inr_label
-from havenlens.operators import (actions, ask, customer360, decisions, insights, portfolio, risk, search, search_index,
+from havenlens.operators import (actions, ask, ask_batch, customer360, decisions, insights, portfolio, risk, search, search_index,
                                  semantic, serving)
 from havenlens.plans import fixtures as fx
 from havenlens.plans.book import Book, run_stages
 from havenlens.plans.checks import f2, r, with_steps
+from havenlens.plans.keyed_book import open_keyed_book, store_keyed
 from havenlens.session import scratch_path
 from havenlens.sources import tables as io
 from havenlens.streaming import jobs
@@ -556,6 +557,25 @@ def _(c):
     return flat(serving.customer_card(c.book.nba, c.book.c360))
 
 
+def keyed_book(c: Context) -> Book:
+    """The book stored by customer and opened again."""
+    folder = c.scratch("keyed")
+    store_keyed(c.spark, c.book, folder, int(c.spark.conf.get("spark.sql.shuffle.partitions")), spread=2)
+    return open_keyed_book(c.spark, c.book, folder)
+
+
+@query("customer_card_stored")
+def _(c):
+    book = keyed_book(c)
+    return flat(serving.customer_card(book.nba, book.c360))
+
+
+@query("source_health_stored")
+def _(c):
+    b = keyed_book(c)
+    return serving.source_health(b.c360, b.policies, b.claims, b.payments, b.insights)
+
+
 @query("call_timeline", "SELECT customer_id, call_ts, transcript_id, agent_id, primary_intent, sentiment_score, "
        "sentiment_label, summary FROM insights")
 def _(c):
@@ -962,6 +982,68 @@ def _(c):
     return told.totals.select(F.lit("; ".join(told.spec.filters)).alias("filters"), "n_customers")
 
 
+ASKED = (ASK_HEALTH, ASK_PLACE, ASK_TOP, ASK_SEGMENT, ASK_CLAIMS)
+
+
+def batch(c: Context) -> tuple[DataFrame, DataFrame]:
+    b = c.book
+    questions = c.spark.createDataFrame(list(enumerate(ASKED)), "question_id bigint, question string")
+    specs = ask_batch.read_questions(questions, AS_OF, CITIES, SEGMENTS)
+    return specs, ask_batch.cohorts(specs, b.nba, b.policies, b.insights, AS_OF)
+
+
+_AT_RISK_PLACE = "city = 'NATION_7' AND risk_band IN ('High', 'Medium')"
+_TOP_CALLERS = f"(SELECT customer_id FROM nba WHERE {_called('cancellation_intent')} ORDER BY risk_score DESC, customer_id LIMIT 10)"
+_COHORTS = (f"risk_band = 'High' AND customer_id IN (SELECT customer_id FROM {HEALTH_RENEWALS})", _AT_RISK_PLACE,
+            f"customer_id IN {_TOP_CALLERS}", f"segment = 'BUILDING' AND {_called('upsell_interest')}",
+            f"{_called('claim_issue')} AND customer_id IN (SELECT customer_id FROM {_policies_where(NEXT_30)})")
+
+
+@query("ask_batch_totals", f"""SELECT question_id, n_customers, premium, expected_loss, {inr_sql('premium', 1)} AS premium_label,
+ {inr_sql('expected_loss', 1)} AS expected_loss_label FROM (""" + " UNION ALL ".join(
+    f"""SELECT CAST({i} AS BIGINT) AS question_id, count(*) AS n_customers, CAST(coalesce(sum(total_annual_premium), 0) AS BIGINT) AS premium,
+ coalesce(sum(expected_premium_loss), 0) AS expected_loss FROM nba WHERE {where}""" for i, where in enumerate(_COHORTS)) + ") t")
+def _(c):
+    return ask_batch.batch_totals(*batch(c))
+
+
+_SHOWN = "customer_id, full_name, city, segment, risk_score, risk_band, total_annual_premium, top_drivers, action"
+
+
+@query("ask_batch_table", " UNION ALL ".join(
+    [f"SELECT CAST({i} AS BIGINT) AS question_id, {_SHOWN}, n_policies, renewal_date, policy_premium, "
+     f"CAST(NULL AS VARCHAR) AS next_renewal_product, CAST(NULL AS DATE) AS next_renewal_date FROM ({sql}) t"
+     for i, sql in ((0, _policy_table(HEALTH_RENEWALS, "risk_band = 'High'")), (4, _policy_table(_policies_where(NEXT_30), _called("claim_issue"))))]
+    + [f"SELECT CAST({i} AS BIGINT) AS question_id, {_SHOWN}, CAST(NULL AS BIGINT) AS n_policies, CAST(NULL AS DATE) AS renewal_date, "
+       f"CAST(NULL AS BIGINT) AS policy_premium, next_renewal_product, next_renewal_date FROM ({_plain_table(_COHORTS[i])}) t" for i in (1, 2, 3)]))
+def _(c):
+    return ask_batch.batch_table(batch(c)[1])
+
+
+@query("lookup_batch", """SELECT CAST(substr(asked.customer_id, 2) AS BIGINT) AS question_id, nba.customer_id, nba.full_name, nba.risk_band,
+ nba.risk_score, coalesce(top_three_listed, '') AS drivers, nba.action,
+ coalesce(nullif(replace(nba.evidence, ',', ', '), ''), '—') AS evidence
+ FROM nba asked JOIN nba ON nba.customer_id = (SELECT min(x.customer_id) FROM nba x WHERE x.full_name = asked.full_name)
+ LEFT JOIN top_text ON top_text.customer_id = nba.customer_id""")
+def _(c):
+    nba = c.book.nba
+    questions = nba.select(F.expr("substr(customer_id, 2)").cast("bigint").alias("question_id"),
+                           F.concat(F.lit("What about "), "full_name", F.lit("?")).alias("question"))
+    return ask_batch.lookup_batch(questions, nba, WORDING)
+
+
+@query("customer_search_batch", """SELECT needle_id, needle_id AS text, customer_id, full_name, city, product_lines, segment, risk_score, risk_band
+ FROM (SELECT w.needle_id, nba.*, row_number() OVER (PARTITION BY w.needle_id ORDER BY risk_score DESC, customer_id) AS nth
+       FROM (SELECT DISTINCT city AS needle_id FROM nba UNION SELECT DISTINCT segment FROM nba UNION SELECT substr(city, 8) FROM nba) w
+       JOIN nba ON contains(lower(concat_ws(' ', customer_id, full_name, city, product_lines, segment)), lower(w.needle_id))) t
+ WHERE nth <= 8""")
+def _(c):
+    nba = c.book.nba
+    values = F.array("city", "segment", F.expr("substr(city, 8)"))
+    needles = nba.select(F.explode(values).alias("needle_id")).distinct().withColumn("text", F.col("needle_id"))
+    return ask_batch.customer_search_batch(nba, needles)
+
+
 # --- search --------------------------------------------------------------------------------------
 CALL_SEARCHES = (
     search.SearchQuery("stuck_claim", "hospital discharge summary submitted twice, claim still pending",
@@ -1298,3 +1380,5 @@ def _(c):
     return jobs.current_status(c.spark, store)
 
 
+#: A query of the stored book is checked as the one that starts from the sources.
+CHECKS |= {f"{name}_stored": CHECKS[name] for name in ("customer_card", "source_health")}

@@ -12,6 +12,7 @@ from pyspark.sql.streaming import StreamingQuery
 from havenlens import constants as K
 from havenlens.operators import decisions, insights
 from havenlens.sources.tables import create_empty, write_table
+from havenlens.sources.versions import drop, whole_versions
 
 
 def stream_enrich(calls: DataFrame, path: str, checkpoint: str, wording: K.Wording = K.DEFAULT_WORDING,
@@ -61,9 +62,9 @@ def stream_action_status(log: DataFrame, path: str, checkpoint: str) -> Streamin
             before = batch.sparkSession.read.parquet(f"{path}/version={batch_id - 1}")
             latest = decisions.latest_decision(latest.unionByName(before))
         latest.write.mode("overwrite").parquet(f"{path}/version={batch_id}")
-        for version in status_versions(batch.sparkSession, path):
+        for version in whole_versions(batch.sparkSession, path):
             if version < batch_id - 1:
-                drop_version(batch.sparkSession, path, version)
+                drop(batch.sparkSession, f"{path}/version={version}")
 
     return (log.writeStream.foreachBatch(advance).option("checkpointLocation", checkpoint)
             .trigger(availableNow=True).start())
@@ -71,18 +72,4 @@ def stream_action_status(log: DataFrame, path: str, checkpoint: str) -> Streamin
 
 def current_status(spark: SparkSession, path: str) -> DataFrame:
     """The newest version of the status table; only its folder is read."""
-    return spark.read.parquet(f"{path}/version={max(status_versions(spark, path))}").drop("log_id")
-
-
-def status_versions(spark: SparkSession, path: str) -> list[int]:
-    """The whole versions of the status table that are stored: two at most."""
-    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-    files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
-    found = [status.getPath() for status in files.listStatus(folder)]
-    return sorted(int(p.getName().partition("=")[2]) for p in found if p.getName().startswith("version=")
-                  and files.exists(spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS")))
-
-
-def drop_version(spark: SparkSession, path: str, version: int) -> None:
-    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/version={version}")
-    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+    return spark.read.parquet(f"{path}/version={max(whole_versions(spark, path))}").drop("log_id")

@@ -151,7 +151,7 @@ def test_status_stream_equals_batch(spark, rows, tmp_path):
     jobs.stream_action_status(stream, store, progress).awaitTermination()
     got, want = jobs.current_status(spark, store), decisions.action_status(log)
     assert got.exceptAll(want).count() == 0 and got.count() == want.count() > 0
-    versions = jobs.status_versions(spark, store)
+    versions = jobs.whole_versions(spark, store)
     assert len(versions) == 2 and versions[-1] >= 15
     assert all(f"version={versions[-1]}/" in f for f in got.inputFiles())
 
