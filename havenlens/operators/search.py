@@ -119,11 +119,15 @@ def keyword_search(corpus: DataFrame, queries: Sequence[SearchQuery], k: int = 5
 
 
 def _ranked(hits: DataFrame, keys: Sequence[str], id_column: str, k: int) -> DataFrame:
-    """Top k by score: first of each of some parts of a query's hits, by a hash of the id, then of what these leave."""
+    """Top k by score: first what each map task has best, in some parts of tasks, then of what these leave.
+
+    A part is told by the task, so Spark keeps k rows of a query in each task before the exchange, and no task gets what all
+    tasks have left of a query.
+    """
     def best(*by) -> Column:
         return F.row_number().over(Window.partitionBy(*by).orderBy(F.desc(F.round("score", 9)), id_column))
 
-    part = F.pmod(F.xxhash64(id_column), F.lit(PARTS)).cast("int")
+    part = F.pmod(F.spark_partition_id(), F.lit(PARTS))
     some = hits.withColumn("part", part).withColumn("rank", best(*keys, "part")).where(F.col("rank") <= k).drop("part", "rank")
     return some.withColumn("rank", best(*keys)).where(F.col("rank") <= k)
 
@@ -135,7 +139,11 @@ def customer_evidence_search(corpus: DataFrame, query: SearchQuery, k: int = 3)
 
 def cohort_with_evidence(cohort: DataFrame, corpus: DataFrame, query: SearchQuery, k: int = 5) -> DataFrame:
     """Cohort rows with up to k supporting calls each and the recommended action; cites only calls found."""
-    found = keyword_search(corpus, [query], k, per="customer_id", members=cohort)
+    return with_citations(cohort, keyword_search(corpus, [query], k, per="customer_id", members=cohort))
+
+
+def with_citations(cohort: DataFrame, found: DataFrame) -> DataFrame:
+    """Cohort rows with the calls found for each customer, best first."""
     cited = found.groupBy("customer_id").agg(F.sort_array(F.collect_list(F.struct("rank", "transcript_id")))
                                              .alias("found"))
     ids = F.transform("found", lambda c: F.concat(F.lit("["), c.getField("transcript_id"), F.lit("]")))

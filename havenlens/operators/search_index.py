@@ -1,8 +1,9 @@
-"""A stored keyword index: built once, extended by new calls, searched without reading any text."""
+"""A stored keyword index: built once, kept up with new, changed and deleted calls, searched without reading any text."""
 
 from __future__ import annotations
 
 import uuid
+from dataclasses import dataclass
 from functools import reduce
 from operator import and_
 
@@ -11,12 +12,34 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from havenlens.operators.search import B, K1, _ranked
+from havenlens.sources.versions import drop, whole_versions
 
-#: What a result shows of a call besides its summary, and by which of these a query may filter.
-CARRIED = ("customer_id", "call_date", "primary_intent", "sentiment_label")
-FILTERS = ("primary_intent", "sentiment_label")
+#: What postings carry of a call, by which of these a query may filter, and what a result shows besides the summary.
+CARRIED = ("customer_id", "policy_id", "call_date", "primary_intent", "sentiment_label")
+FILTERS = ("customer_id", "policy_id", "primary_intent", "sentiment_label")
+SHOWN = ("customer_id", "call_date", "primary_intent", "sentiment_label")
 #: A term lies in one of TERM_PARTS folders; within a join its documents are dealt into DOC_PARTS, so a stop word splits.
-TERM_PARTS, DOC_PARTS = 16, 16
+TERM_PARTS, DOC_PARTS = 64, 16
+#: Up to so many terms reach the scan as literals; more are only joined.
+PUSHED_TERMS = 1000
+#: Loads after which an index is rewritten as one, so that neither files nor superseded rows pile up.
+MOST_LOADS = 32
+
+
+@dataclass(frozen=True)
+class Index:
+    """The rows of the newest generation that count: of loads that ended, and of documents the versions that are not gone."""
+
+    folder: str
+    loads: DataFrame
+    postings: DataFrame
+    terms: DataFrame
+    docs: DataFrame
+    gone: DataFrame
+
+    @property
+    def live_docs(self) -> DataFrame:
+        return self.docs.join(self.gone, ["id", "load"], "left_anti")
 
 
 def _tokens(text: Column) -> Column:
@@ -27,63 +50,167 @@ def _part(column: str, parts: int) -> Column:
     return F.pmod(F.xxhash64(column), F.lit(parts)).cast("int")
 
 
+def folder_of(spark: SparkSession, path: str) -> str:
+    """The folder of the newest whole generation of the index at `path`."""
+    return f"{path}/data-{max(whole_versions(spark, f'{path}/generations'))}"
+
+
+def _columns(ids: str) -> dict[str, str]:
+    """The columns of each table of a generation, for ids of a type."""
+    carried = ", ".join(f"{c} string" for c in CARRIED)
+    return {"docs": f"id {ids}, {carried}, summary string, doc_len bigint, print bigint, load string",
+            "postings": f"id {ids}, {carried}, doc_len bigint, load string, term string, tf bigint, term_part int",
+            "terms": "term string, n_docs bigint, load string, term_part int",
+            "gone": f"id {ids}, doc_len bigint, load string, by string",
+            "loads": "load string, n_docs bigint, total_len bigint"}
+
+
+def _begin(spark: SparkSession, path: str, generation: int, ids: T.DataType) -> str:
+    """An empty generation; it is not read before _publish."""
+    folder = f"{path}/data-{generation}"
+    for name, columns in _columns(ids.simpleString()).items():
+        writer = spark.createDataFrame([], columns).write.mode("overwrite")
+        (writer.partitionBy("term_part") if "term_part" in columns else writer).parquet(f"{folder}/{name}")
+    return folder
+
+
+def _read(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """A table of a generation, whole; one in folders by term has no file while it is empty."""
+    ids = spark.read.parquet(f"{folder}/docs").schema["id"].dataType.simpleString()
+    return spark.read.schema(_columns(ids)[name]).parquet(f"{folder}/{name}")
+
+
+def _publish(spark: SparkSession, path: str, generation: int) -> None:
+    spark.range(1).write.mode("overwrite").parquet(f"{path}/generations/version={generation}")
+
+
+def open_index(spark: SparkSession, path: str) -> Index:
+    """The index as it is now. Loads are MOST_LOADS at most, so that they are broadcast; what a broken load left is not read."""
+    folder = folder_of(spark, path)
+    loads = _read(spark, folder, "loads")
+    ended = F.broadcast(loads.select("load"))
+
+    def table(name: str) -> DataFrame:
+        return _read(spark, folder, name).join(ended, "load", "left_semi")
+
+    gone = _read(spark, folder, "gone").join(ended.withColumnRenamed("load", "by"), "by", "left_semi").select("id", "load")
+    return Index(folder, loads, table("postings"), table("terms"), table("docs"), gone)
+
+
 def append_index(corpus: DataFrame, path: str, id_column: str = "transcript_id", text_column: str = "search_text") -> None:
-    """Index the rows of a search corpus that the index at `path` does not hold; the first call builds it.
+    """Index the rows of a search corpus whose ids the index at `path` does not hold; the first call builds it."""
+    _load(corpus, path, id_column, text_column, False, None)
+
+
+def refresh_index(corpus: DataFrame, path: str, deleted: DataFrame | None = None, id_column: str = "transcript_id",
+                  text_column: str = "search_text") -> None:
+    """Index new rows of a corpus, put rows that have changed in the place of those with their id, and drop `deleted` ids.
 
-    postings has a row per term of a document, in folders by term, sorted by term; terms counts documents per term and
-    load; docs has a row per document. docs is written last and names the load: what a broken load has left is not read.
+    `corpus` may hold everything or only what has arrived. A row has changed if its text, summary or any carried column has;
+    of the others nothing is written. Ids of `deleted` that the corpus holds stay.
     """
+    _load(corpus, path, id_column, text_column, True, deleted)
+
+
+def _load(corpus: DataFrame, path: str, id_column: str, text_column: str, replace: bool, deleted: DataFrame | None) -> None:
+    """One load: postings has a row per term of a document, in folders by term, sorted by term; terms counts documents per
+    term; docs has a row per version of a document; gone names versions that count no more, for which terms and the load's
+    totals count backwards. The load's own row is written last: until then nothing of it is read."""
     spark = corpus.sparkSession
-    ids = corpus.schema[id_column].dataType
-    _schema(spark, ids, path)
-    known = spark.read.schema(T.StructType([T.StructField("id", ids)])).parquet(f"{path}/docs")
-    load = uuid.uuid4().hex
-    text = corpus.select(F.col(id_column).alias("id"), *CARRIED, "summary", _tokens(F.col(text_column)).alias("tokens")).join(
-        known, "id", "left_anti").withColumns({"doc_len": F.size("tokens").cast("long"), "load": F.lit(load)})
-    postings = (text.select("id", *CARRIED, "doc_len", "load", F.explode("tokens").alias("term"))
-                .groupBy("id", *CARRIED, "doc_len", "load", "term").agg(F.count("*").alias("tf"))
-                .withColumn("term_part", _part("term", TERM_PARTS)))
-    postings.hint("rebalance", F.col("term_part")).sortWithinPartitions("term_part", "term").write.mode("append").partitionBy(
-        "term_part").parquet(f"{path}/postings")
-    new = spark.read.parquet(f"{path}/postings").where(F.col("load") == load)
-    counts = new.groupBy("term_part", "term").agg(F.count("*").alias("n_docs"), F.first("load").alias("load"))
-    counts.hint("rebalance", F.col("term_part")).write.mode(
-        "append").partitionBy("term_part").parquet(f"{path}/terms")
-    text.drop("tokens").write.mode("append").parquet(f"{path}/docs")
-
-
-def _schema(spark: SparkSession, ids: T.DataType, path: str) -> None:
-    kind = ids.simpleString()
-    shown = ", ".join(f"{c} string" for c in CARRIED)
-    for name, columns in (("docs", f"id {kind}, {shown}, summary string, doc_len bigint, load string"),
-                          ("postings", f"id {kind}, {shown}, doc_len bigint, load string, term string, tf bigint, term_part int"),
-                          ("terms", "term string, n_docs bigint, load string, term_part int")):
-        writer = spark.createDataFrame([], columns).write.mode("ignore")
-        (writer if name == "docs" else writer.partitionBy("term_part")).parquet(f"{path}/{name}")
+    if not whole_versions(spark, f"{path}/generations"):
+        _begin(spark, path, 1, corpus.schema[id_column].dataType)
+        _publish(spark, path, 1)
+    index, load = open_index(spark, path), uuid.uuid4().hex
+    old = index.live_docs.select("id", F.col("load").alias("old_load"), F.col("doc_len").alias("old_len"), F.col("print").alias("old_print"))
+    rows = corpus.select(F.col(id_column).alias("id"), *CARRIED, "summary", _tokens(F.col(text_column)).alias("tokens"),
+                         F.xxhash64(*CARRIED, "summary", text_column).alias("print"))
+    changed = F.col("old_load").isNull() | (F.lit(replace) & (F.col("print") != F.col("old_print")))
+    fresh = rows.join(old, "id", "left").where(changed).withColumns({"doc_len": F.size("tokens").cast("long"), "load": F.lit(load)})
+    superseded = fresh.where("old_load IS NOT NULL").select("id", "old_load", "old_len")
+    if deleted is not None:
+        dropped = deleted.select(F.col(deleted.columns[0]).alias("id")).distinct().join(rows.select("id"), "id", "left_anti")
+        superseded = superseded.unionByName(old.join(dropped, "id").select("id", "old_load", "old_len"))
+    superseded.select("id", F.col("old_len").alias("doc_len"), F.col("old_load").alias("load"), F.lit(load).alias("by")).write.mode(
+        "append").parquet(f"{index.folder}/gone")
+    gone = _read(spark, index.folder, "gone").where(F.col("by") == load)
+    _write_postings(fresh, index.folder)
+    new = _read(spark, index.folder, "postings").where(F.col("load") == load)
+    lost = index.postings.join(gone.select("id", "load"), ["id", "load"], "left_semi")
+    counts = new.select("term_part", "term", F.lit(1).alias("n")).unionByName(lost.select("term_part", "term", F.lit(-1).alias("n")))
+    _write_terms(counts.groupBy("term_part", "term").agg(F.sum("n").alias("n_docs")).withColumn("load", F.lit(load)), index.folder)
+    fresh.select("id", *CARRIED, "summary", "doc_len", "print", "load").write.mode("append").parquet(f"{index.folder}/docs")
+    added = _read(spark, index.folder, "docs").where(F.col("load") == load)
+    _write_load(added.select("doc_len", F.lit(1).alias("n")).unionByName(
+        gone.select((-F.col("doc_len")).alias("doc_len"), F.lit(-1).alias("n"))), load, index.folder)
+    if _read(spark, index.folder, "loads").count() >= MOST_LOADS:
+        compact_index(spark, path)
+
+
+def _write_postings(docs: DataFrame, folder: str) -> None:
+    own = ["id", *CARRIED, "doc_len", "load"]
+    postings = docs.select(*own, F.explode("tokens").alias("term")).groupBy(*own, "term").agg(F.count("*").alias("tf")).withColumn(
+        "term_part", _part("term", TERM_PARTS))
+    _by_term(postings).write.mode("append").partitionBy("term_part").parquet(f"{folder}/postings")
+
+
+def _by_term(rows: DataFrame) -> DataFrame:
+    return rows.hint("rebalance", F.col("term_part")).sortWithinPartitions("term_part", "term")
+
+
+def _write_terms(counts: DataFrame, folder: str) -> None:
+    _by_term(counts.where("n_docs <> 0")).write.mode("append").partitionBy("term_part").parquet(f"{folder}/terms")
+
+
+def _write_load(lengths: DataFrame, load: str, folder: str) -> None:
+    lengths.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_docs"), F.coalesce(F.sum("doc_len"), F.lit(0)).alias("total_len")).select(
+        F.lit(load).alias("load"), "n_docs", "total_len").coalesce(1).write.mode("append").parquet(f"{folder}/loads")
+
+
+def compact_index(spark: SparkSession, path: str) -> None:
+    """Write what counts as a new generation of one load. Searches read the old one until it is whole, then it is the
+    newest; the generation before the old one is dropped. No text is read and no term is counted anew."""
+    index, load = open_index(spark, path), uuid.uuid4().hex
+    before = max(whole_versions(spark, f"{path}/generations"))
+    folder = _begin(spark, path, before + 1, index.docs.schema["id"].dataType)
+    own = F.lit(load).alias("load")
+    live = index.postings.join(index.gone, ["id", "load"], "left_anti").withColumn("load", own)
+    _by_term(live).write.mode("append").partitionBy("term_part").parquet(f"{folder}/postings")
+    _write_terms(index.terms.groupBy("term_part", "term").agg(F.sum("n_docs").alias("n_docs")).withColumn("load", own), folder)
+    index.live_docs.withColumn("load", own).select("id", *CARRIED, "summary", "doc_len", "print", "load").write.mode("append").parquet(f"{folder}/docs")
+    _write_load(_read(spark, folder, "docs").select("doc_len", F.lit(1).alias("n")), load, folder)
+    _publish(spark, path, before + 1)
+    for version in whole_versions(spark, f"{path}/generations"):
+        if version < before:
+            drop(spark, f"{path}/generations/version={version}")
+            drop(spark, f"{path}/data-{version}")
 
 
 def search_index(queries: DataFrame, path: str, k: int = 5, per: str | None = None, members: DataFrame | None = None) -> DataFrame:
     """(query_id, id, rank, score, customer_id, call_date, primary_intent, sentiment_label, summary): BM25 top k per query.
 
-    `queries` holds (query_id, text) and any of the FILTERS; a null filter lets all documents pass. Statistics cover the
-    whole index. Only the folders of the queries' terms are read and joined with them; a term's documents are dealt over
-    DOC_PARTS. With `per` the top k are per query and value of that column, limited to
-    those that `members` lists, if given.
+    `queries` holds (query_id, text) and any of the FILTERS; a null filter lets all documents pass, any other column is
+    refused. Statistics cover the whole index and come from the rows of its loads. Only the folders of the queries' terms are
+    read, and in their sorted files the row groups that hold the terms; a term's documents are dealt over DOC_PARTS. With
+    `per` the top k are per query and value of that column, limited to those that `members` lists, if given.
     """
+    unknown = set(queries.columns) - {"query_id", "text", *FILTERS}
+    if unknown:
+        raise ValueError(f"no filters of this index: {', '.join(sorted(unknown))}")
     spark = queries.sparkSession
-    docs = spark.read.parquet(f"{path}/docs")
-    loads = F.broadcast(docs.select("load").distinct())  # one row for each time that documents were added
-    postings = spark.read.parquet(f"{path}/postings").join(loads, "load", "left_semi")
-    counts = spark.read.parquet(f"{path}/terms").join(loads, "load", "left_semi")
+    index = open_index(spark, path)
     asked = [c for c in FILTERS if c in queries.columns]
     wanted = (queries.select("query_id", *[F.col(c).alias(f"only_{c}") for c in asked], F.explode(_tokens(F.col("text"))).alias("term"))
               .groupBy("query_id", *[f"only_{c}" for c in asked], "term").agg(F.count("*").alias("n"))
               .withColumn("term_part", _part("term", TERM_PARTS)))
-    parts = [row.term_part for row in wanted.select("term_part").distinct().collect()]  # TERM_PARTS numbers at most
-    postings, counts = (t.where(F.col("term_part").isin(parts)) for t in (postings, counts))
+    few = wanted.select("term_part", "term").distinct().limit(PUSHED_TERMS + 1).collect()
+    if len(few) <= PUSHED_TERMS:
+        named = F.col("term_part").isin(sorted({r.term_part for r in few})) & F.col("term").isin(sorted({r.term for r in few}))
+    else:
+        named = F.col("term_part").isin([r.term_part for r in wanted.select("term_part").distinct().collect()])
+    postings, counts = index.postings.where(named), index.terms.where(named)
     frequency = counts.join(wanted.select("term_part", "term").distinct(), ["term_part", "term"], "left_semi").groupBy(
-        "term_part", "term").agg(F.sum("n_docs").alias("df"))
-    size = docs.agg(F.struct(F.count("*").alias("n_docs"), F.sum("doc_len").alias("total_len"))).scalar()
+        "term_part", "term").agg(F.sum("n_docs").alias("df")).where("df > 0")
+    size = index.loads.agg(F.struct(F.sum("n_docs").alias("n_docs"), F.sum("total_len").alias("total_len"))).scalar()
     weighed = (wanted.join(frequency, ["term_part", "term"]).withColumn("size", size)
                .withColumn("idf", F.log(F.lit(1.0) + (F.col("size.n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)))
                .withColumn("average", F.col("size.total_len") / F.col("size.n_docs")).drop("size", "df")
@@ -93,10 +220,11 @@ def search_index(queries: DataFrame, path: str, k: int = 5, per: str | None = No
     matched = postings.withColumn("doc_part", _part("id", DOC_PARTS)).join(weighed, ["term_part", "term", "doc_part"])
     matched = matched.where(reduce(and_, [
         F.col(f"only_{c}").isNull() | (F.col(f"only_{c}") == F.col(c)) for c in asked], F.lit(True)))
+    matched = matched.join(index.gone, ["id", "load"], "left_anti")
     norm = F.lit(K1) * (F.lit(1 - B) + F.lit(B) * F.col("doc_len") / F.col("average"))
     score = F.col("n") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + norm)
     keys = ["query_id", *([per] if per else [])]
-    hits = matched.groupBy(*keys, "id").agg(F.sum(score).alias("score")).where(F.col("score") > 0)
-    best = _ranked(hits, keys, "id", k).select("query_id", "id", "rank", "score")
-    return best.join(docs.select("id", *CARRIED, "summary"), "id").select(
-        "query_id", "id", "rank", "score", *CARRIED, "summary")
+    hits = matched.groupBy(*keys, "id", "load").agg(F.sum(score).alias("score")).where(F.col("score") > 0)
+    best = _ranked(hits, keys, "id", k).select("query_id", "id", "load", "rank", "score")
+    return best.join(index.docs.select("id", "load", *SHOWN, "summary"), ["id", "load"]).select(
+        "query_id", "id", "rank", "score", *SHOWN, "summary")

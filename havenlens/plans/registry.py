@@ -1190,6 +1190,28 @@ def _(c):
     return search.cohort_with_evidence(high, search.search_corpus(c.book.insights), LEAVING)
 
 
+def evidence_index(c: Context) -> tuple[str, DataFrame]:
+    """A stored index of all calls, and what is asked of it."""
+    path = c.scratch("index")
+    search_index.append_index(search.search_corpus(c.book.insights), path)
+    return path, c.spark.createDataFrame([(LEAVING.query_id, LEAVING.text)], "query_id string, text string")
+
+
+@query("customer_evidence_search_index")
+def _(c):
+    path, asked = evidence_index(c)
+    found = search_index.search_index(asked, path, 3, "customer_id")
+    return shown_score(found.select("query_id", "customer_id", F.col("id").alias("transcript_id"), "rank", "score"))
+
+
+@query("cohort_with_evidence_index")
+def _(c):
+    path, asked = evidence_index(c)
+    high = c.book.nba.where(F.col("risk_band") == "High")
+    found = search_index.search_index(asked, path, 5, "customer_id", high)
+    return search.with_citations(high, found.withColumnRenamed("id", "transcript_id"))
+
+
 @query("refresh_corpus", CORPUS_SQL + " WHERE call_ts >= TIMESTAMP '2001-10-06'")
 def _(c):
     stored = c.book.call_transcripts.where(F.col("call_ts") < F.lit("2001-10-06").cast("timestamp_ntz"))
@@ -1380,5 +1402,6 @@ def _(c):
     return jobs.current_status(c.spark, store)
 
 
-#: A query of the stored book is checked as the one that starts from the sources.
+#: A query of the stored book or index is checked as the one that starts from the sources.
 CHECKS |= {f"{name}_stored": CHECKS[name] for name in ("customer_card", "source_health")}
+CHECKS |= {f"{name}_index": CHECKS[name] for name in ("customer_evidence_search", "cohort_with_evidence")}

@@ -158,7 +158,7 @@ def test_index_equals_a_scan_and_two_loads_equal_one(spark, index):
         found = search_index.search_index(asked, f"{folder}/{name}", 7)
         assert {(r.query_id, r["rank"]): (r.id, round(r.score, 9)) for r in found.collect()} == want and len(want) == 21
         assert found.columns == ["query_id", "id", "rank", "score", "customer_id", "call_date", "primary_intent", "sentiment_label", "summary"]
-    n = {name: {t: spark.read.parquet(f"{folder}/{name}/{t}").count() for t in ("postings", "docs")} for name in ("once", "twice")}
+    n = {name: {t: spark.read.parquet(f"{search_index.folder_of(spark, f'{folder}/{name}')}/{t}").count() for t in ("postings", "docs")} for name in ("once", "twice")}
     assert n["once"] == n["twice"] and n["once"]["docs"] == corpus.count()
 
 
@@ -189,7 +189,54 @@ def test_a_broken_load_is_not_read(spark, index, tmp_path):
     search_index.append_index(index[0].limit(20), path)
     before = search_index.search_index(spark.createDataFrame(QUERIES[:2], "query_id string, text string, primary_intent string"), path)
     rows = sorted(map(tuple, before.collect()), key=repr)
-    left = spark.read.parquet(f"{path}/postings").withColumn("load", functions.lit("broken"))
-    left.write.mode("append").partitionBy("term_part").parquet(f"{path}/postings")
+    data = search_index.folder_of(spark, path)
+    left = spark.read.parquet(f"{data}/postings").withColumn("load", functions.lit("broken"))
+    left.write.mode("append").partitionBy("term_part").parquet(f"{data}/postings")
+    docs = spark.read.parquet(f"{data}/docs").select("id", "doc_len", "load", functions.lit("broken").alias("by"))
+    docs.write.mode("append").parquet(f"{data}/gone")
     again = search_index.search_index(spark.createDataFrame(QUERIES[:2], "query_id string, text string, primary_intent string"), path)
     assert sorted(map(tuple, again.collect()), key=repr) == rows
+
+
+def test_filters_by_customer_and_policy_and_no_others(spark, index, book):
+    from havenlens.operators import search_index
+
+    corpus, path = index[0], f"{index[1]}/once"
+    asked = spark.createDataFrame([("a", "cancel or port", "hot", None), ("b", "cancel or port", "calls", None), ("c", "cancel", None, "P-none")],
+                                  "query_id string, text string, customer_id string, policy_id string")
+    got = {(r.query_id, r.id) for r in search_index.search_index(asked, path, 4).collect()}
+    want = search.keyword_search(corpus, [search.SearchQuery("a", "cancel or port", {"customer_id": "hot"}),
+                                          search.SearchQuery("b", "cancel or port", {"customer_id": "calls"})], 4)
+    assert got == {(r.query_id, r.transcript_id) for r in want.collect()} and len(got) > 4
+    with pytest.raises(ValueError, match="agent_id"):
+        search_index.search_index(asked.withColumnRenamed("customer_id", "agent_id"), path)
+
+
+def test_changed_and_deleted_calls_and_many_loads_equal_a_fresh_build(spark, index, tmp_path, monkeypatch):
+    from havenlens.operators import search_index
+
+    monkeypatch.setattr(search_index, "MOST_LOADS", 4)
+    monkeypatch.setattr(search_index, "TERM_PARTS", 3)
+    corpus = index[0].where("transcript_id < 'h00040' OR transcript_id > 'i'")
+    corpus.write.parquet(f"{tmp_path}/corpus")
+    corpus = spark.read.parquet(f"{tmp_path}/corpus")
+    path, loads = str(tmp_path / "kept"), 4
+    part = functions.pmod(functions.xxhash64("transcript_id"), functions.lit(loads))
+    for n in range(loads):
+        search_index.refresh_index(corpus.where(part == n), path)
+    said = functions.when(functions.col("transcript_id") < "h00005", functions.concat(functions.col("search_text"), functions.lit(" zebra cancel"))).otherwise(
+        functions.col("search_text"))
+    now = corpus.withColumn("search_text", said).where("transcript_id <> 'a90' AND transcript_id <> 'h00007'")
+    deleted = spark.createDataFrame([("a90",), ("h00007",), ("h00000",), ("not there",)], "id string")
+    search_index.refresh_index(now, path, deleted)
+    search_index.refresh_index(now, path, deleted)  # again: nothing is left to do
+    search_index.append_index(now, f"{tmp_path}/fresh")
+    asked = spark.createDataFrame([*[q[:2] for q in QUERIES], ("z", "zebra")], "query_id string, text string")
+    want, got = (sorted((r.query_id, r["rank"], r.id, round(r.score, 9), r.summary) for r in search_index.search_index(asked, p, 9).collect())
+                 for p in (f"{tmp_path}/fresh", path))
+    assert got == want and sum(r[0] == "z" for r in got) > 3 and not {"a90", "h00007"} & {r[2] for r in got}
+    assert spark.read.parquet(f"{search_index.folder_of(spark, path)}/loads").count() < 4
+    assert len(search_index.whole_versions(spark, f"{path}/generations")) == 2
+    one = spark.createDataFrame([("z", "zebra")], "query_id string, text string")
+    plan = search_index.search_index(one, path)._jdf.queryExecution().executedPlan().toString()
+    assert "EqualTo(term,zebra)" in plan or "In(term, [zebra])" in plan
