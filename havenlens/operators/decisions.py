@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from havenlens import constants as K
@@ -37,6 +37,31 @@ def append_action_log(decisions: DataFrame, path: str, agent: str | None = None,
     log_entries(decisions, log, agent, now).write.mode("append").parquet(path)
 
 
+#: Ids of one arriving batch: the high bits are its number, below are the part that holds the row and the row's place there.
+BATCH_BITS, BATCH_PARTS = 39, 64
+
+
+def batch_entries(decisions: DataFrame, batch_id: int, agent: str | None = None, now: dt.datetime | None = None) -> DataFrame:
+    """Log rows for the decisions of one batch, with ids above those of all batches before, told by batch and position.
+
+    Rows are dealt by their content into a fixed number of parts and sorted there, so the same batch gives the same ids
+    however often it is replayed, and no stored id is looked at.
+    """
+    columns = decisions.columns
+    dealt = decisions.repartition(BATCH_PARTS, F.xxhash64(*columns)).sortWithinPartitions(*columns)
+    rows = dealt.withColumns({
+        "log_id": F.lit(batch_id + 1) * F.lit(1 << BATCH_BITS) + F.monotonically_increasing_id(),
+        "agent": F.coalesce("agent", F.lit(agent)) if "agent" in columns else F.lit(agent),
+        "ts": F.coalesce("ts", moment(now)) if "ts" in columns else moment(now),
+    })
+    return schemas.conform(rows, schemas.ACTION_LOG)
+
+
+def read_log(spark: SparkSession, path: str) -> DataFrame:
+    """The log at `path`, whether it was appended to or fed by a stream."""
+    return spark.read.schema(schemas.ACTION_LOG).option("recursiveFileLookup", "true").parquet(path)
+
+
 def latest_decision(log: DataFrame) -> DataFrame:
     """Latest valid decision per customer with its log id. A max over structs needs no window and combines map-side."""
     valid = log.where(F.col("status").isin(*K.DECISION_STATUSES))

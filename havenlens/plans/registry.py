@@ -1393,6 +1393,16 @@ def _(c):
     return c.spark.read.parquet(store).drop("month")
 
 
+@query("stream_action_log", f"""SELECT {LOG_VALUES} FROM (
+ SELECT * REPLACE (coalesce(agent, 'desk') AS agent, coalesce(ts, TIMESTAMP '2001-11-05 06:00:00') AS ts) FROM status) s""")
+def _(c):
+    arriving, path, checkpoint = c.scratch("decisions"), c.scratch("log"), c.scratch("progress")
+    c.book.status.repartition(4).write.parquet(arriving)
+    stream = c.spark.readStream.schema(c.book.status.schema).option("maxFilesPerTrigger", 2).parquet(arriving)
+    jobs.stream_action_log(stream, path, checkpoint, "desk", STAMP).awaitTermination()
+    return decisions.read_log(c.spark, path).select(*LOG_VALUES.split(", "))
+
+
 @query("stream_action_status", "SELECT * FROM status")
 def _(c):
     arriving, store, checkpoint = c.scratch("log"), c.scratch("status"), c.scratch("progress")

@@ -151,9 +151,100 @@ def test_status_stream_equals_batch(spark, rows, tmp_path):
     jobs.stream_action_status(stream, store, progress).awaitTermination()
     got, want = jobs.current_status(spark, store), decisions.action_status(log)
     assert got.exceptAll(want).count() == 0 and got.count() == want.count() > 0
-    versions = jobs.whole_versions(spark, store)
-    assert len(versions) == 2 and versions[-1] >= 15
-    assert all(f"version={versions[-1]}/" in f for f in got.inputFiles())
+    places = jobs.whole_versions(spark, f"{store}/places")
+    assert len(places) == 2 and places[-1] >= 15
+    last = rows(schemas.ACTION_LOG, [dict(log_id=900, customer_id="c3", status="Done", ts=dt.datetime(2001, 12, 1)),
+                                     dict(log_id=901, customer_id="new", status="Rejected", ts=dt.datetime(2001, 12, 1))])
+    last.coalesce(1).write.mode("append").parquet(arriving)
+    before = jobs._places(spark, store, places[-1])
+    jobs.stream_action_status(stream, store, progress).awaitTermination()
+    after = jobs._places(spark, store, places[-1] + 1)
+    assert 1 <= sum(after[b] != before.get(b) for b in after) <= 2  # two customers, two buckets at most
+    got, want = jobs.current_status(spark, store), decisions.action_status(log.unionByName(last))
+    assert got.exceptAll(want).count() == 0 and got.count() == want.count()
+    assert len(list(Path(store, "data").glob("version=*/bucket=*"))) <= 2 * len(after)
+
+
+def crash_once(monkeypatch, module, name, after=True):
+    """The first call of a function breaks, after it did its work or before."""
+    real, calls = getattr(module, name), []
+
+    def broken(*args, **more):
+        calls.append(name)
+        if len(calls) == 1:
+            if after:
+                real(*args, **more)
+            raise RuntimeError("lost")
+        return real(*args, **more)
+
+    monkeypatch.setattr(module, name, broken)
+    return calls
+
+
+def test_a_replayed_status_batch_gives_the_same_table(spark, rows, tmp_path, monkeypatch):
+    arriving, store, progress = (str(tmp_path / n) for n in ("in", "out", "progress"))
+    log = rows(schemas.ACTION_LOG, [dict(log_id=i, customer_id=f"c{i % 5}", status="Done", ts=dt.datetime(2001, 11, 1 + i % 9)) for i in range(30)])
+    log.repartition(2).write.parquet(arriving)
+    stream = spark.readStream.schema(schemas.ACTION_LOG).option("maxFilesPerTrigger", 1).parquet(arriving)
+    crash_once(monkeypatch, jobs, "drop")  # everything is written, the commit of the batch is not
+    with pytest.raises(Exception, match="lost"):
+        jobs.stream_action_status(stream, store, progress, 4).awaitTermination()
+    jobs.stream_action_status(stream, store, progress, 4).awaitTermination()
+    got, want = jobs.current_status(spark, store), decisions.action_status(log)
+    assert got.exceptAll(want).count() == 0 and got.count() == want.count() == 5
+
+
+def test_a_replayed_batch_of_decisions_appends_nothing(spark, rows, tmp_path, monkeypatch):
+    arriving, store, progress = (str(tmp_path / n) for n in ("in", "log", "progress"))
+    made = rows(schemas.ACTION_LOG, [dict(customer_id=f"c{i % 40}", status="Accepted", note=f"n{i % 70}") for i in range(90)]).drop("log_id")
+    made.repartition(3).write.parquet(arriving)
+    stream = spark.readStream.schema(made.schema).option("maxFilesPerTrigger", 1).parquet(arriving)
+    seen = []
+    real = decisions.batch_entries
+
+    def broken(*args, **more):
+        entries = real(*args, **more)
+        seen.append(args[1])
+        if len(seen) == 2:  # the second batch is written, but not committed
+            entries.write.mode("overwrite").parquet(f"{store}/batch={args[1]}")
+            seen.append(sorted(entries.select("log_id", "customer_id", "note").collect()))
+            raise RuntimeError("lost")
+        return entries
+
+    monkeypatch.setattr(decisions, "batch_entries", broken)
+    with pytest.raises(Exception, match="lost"):
+        jobs.stream_action_log(stream, store, progress, "me", STAMP).awaitTermination()
+    jobs.stream_action_log(stream, store, progress, "me", STAMP).awaitTermination()
+    log = decisions.read_log(spark, store)
+    got, want = log.drop("log_id"), made.withColumns({"agent": F.lit("me"), "ts": F.lit(STAMP).cast("timestamp_ntz")}).select(*log.drop("log_id").columns)
+    assert got.count() == 90 and got.exceptAll(want).count() == 0
+    assert log.select("log_id").distinct().count() == 90
+    ids = {(r.log_id, r.customer_id, r.note) for r in log.collect()}
+    assert {tuple(r) for r in seen[2]} <= ids  # the replay gave the same ids
+    by_batch = sorted(i >> decisions.BATCH_BITS for i, *_ in ids)
+    assert set(by_batch) == {1, 2, 3}
+
+
+def test_insights_and_index_arrive_together(spark, sample, tmp_path, monkeypatch):
+    from havenlens.operators import search, search_index
+
+    monkeypatch.setattr(search_index, "TERM_PARTS", 3)
+    arriving, store, path, progress = (str(tmp_path / n) for n in ("in", "out", "index", "progress"))
+    calls = sample["call_transcripts"].where("customer_id <> 'hot' OR transcript_id < 'h00020'")
+    calls.repartition(2).write.parquet(arriving)
+    stream = spark.readStream.schema(schemas.CALL_TRANSCRIPTS).option("maxFilesPerTrigger", 1).parquet(arriving)
+    crash_once(monkeypatch, search_index, "_write_load", after=False)  # insights are written, the load is not published
+    with pytest.raises(Exception, match="lost"):
+        jobs.stream_index(stream, store, path, progress, enriched_at=STAMP).awaitTermination()
+    assert search_index.open_index(spark, path).docs.count() == 0
+    jobs.stream_index(stream, store, path, progress, enriched_at=STAMP).awaitTermination()
+    want = insights.interaction_insights(calls, enriched_at=STAMP)
+    got = spark.read.parquet(store).drop("month")
+    assert got.count() == want.count() and got.exceptAll(want).count() == 0
+    assert sorted(r.id for r in search_index.open_index(spark, path).live_docs.collect()) == sorted(r.transcript_id for r in want.collect())
+    asked = spark.createDataFrame([("q", "cancel or port")], "query_id string, text string")
+    scanned = search.keyword_search(search.search_corpus(want), [search.SearchQuery("q", "cancel or port")], 6)
+    assert {(r.id, r["rank"]) for r in search_index.search_index(asked, path, 6).collect()} == {(r.transcript_id, r["rank"]) for r in scanned.collect()}
 
 
 def test_shared_folder_is_the_configured_one(spark):
