@@ -109,8 +109,11 @@ def cohorts(specs: DataFrame, nba: DataFrame, policies: DataFrame, insights: Dat
 
 
 def _first_of_each(met: DataFrame, specs: DataFrame) -> DataFrame:
-    """The riskiest of each question that asks for so many, all of the others. The largest number limits before the exchange."""
-    most = specs.agg(F.coalesce(F.max("top"), F.lit(0))).scalar()
+    """The riskiest of each question that asks for so many, all of the others.
+
+    The largest number asked for, one number that comes to the driver, lets Spark limit each question before the exchange.
+    """
+    most = specs.agg(F.max("top")).first()[0] or 0
     tops = specs.select("question_id", "top")
     told = met.join(tops, "question_id")
     nth = F.row_number().over(Window.partitionBy("question_id").orderBy(F.desc("score"), "customer_id"))
