@@ -16,7 +16,7 @@ from havenlens.functions import churn
 from havenlens.functions import text as tx
 from havenlens.functions.numeric import fixed, inr_label
 from havenlens.operators import (actions, ask, ask_batch, customer360, decisions, insights, portfolio, risk, search, search_index,
-                                 semantic, serving)
+                                 semantic, serving, vector_index)
 from havenlens.plans import fixtures as fx
 from havenlens.plans.book import Book, run_stages
 from havenlens.plans.checks import f2, r, with_steps
@@ -1144,6 +1144,16 @@ def _(c):
     return shown_score(search.vector_search(vectors, label_centres(vectors), on=["label"]))
 
 
+@query("vector_search_index", _nearest("e.label = c.label", 5))
+def _(c):
+    """On a stored index that two loads have filled; further cells are read while one may hold a nearer vector."""
+    path, vectors = c.scratch("vectors"), c.table("embeddings")
+    vector_index.append_vectors(vectors.where("vec_id % 4 > 0"), path, ["label"])
+    vector_index.append_vectors(vectors, path, ["label"])
+    found = vector_index.search_vector_index(label_centres(vectors), path, on=["label"], exact=True)
+    return shown_score(found.withColumnRenamed("id", "vec_id"))
+
+
 @query("hybrid_search", _bm25_check(
     "SELECT doc_id, text FROM documents", "doc_id", "text", DOCUMENT_SEARCHES, 20, final=f"""
  SELECT query_id, doc_id, {r('score', 6)} AS score, CAST(row_number() OVER (PARTITION BY query_id
