@@ -5,13 +5,14 @@ from __future__ import annotations
 import uuid
 from dataclasses import dataclass
 from functools import reduce
-from operator import and_
+from operator import and_, or_
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from havenlens.operators.search import B, K1, _ranked
+from havenlens.session import scratch_path
 from havenlens.sources.versions import drop, whole_versions
 
 #: What postings carry of a call, by which of these a query may filter, and what a result shows besides the summary.
@@ -22,6 +23,13 @@ SHOWN = ("customer_id", "call_date", "primary_intent", "sentiment_label")
 TERM_PARTS, DOC_PARTS = 64, 16
 #: Up to so many terms reach the scan as literals; more are only joined.
 PUSHED_TERMS = 1000
+#: A term's postings lie in blocks by how much one can score, told by its count and length at a usual length in words. What
+#: a block may score holds at any average length; it is tightest if that is near the usual one.
+BLOCKS, USUAL_WORDS = 32, 100
+#: Up to so many terms reach the scan with the least block that each needs; more with the least of all.
+PUSHED_BLOCKS = 100
+#: What rounding may add to a sum of scores.
+SLACK = 1e-6
 #: Loads after which an index is rewritten as one, so that neither files nor superseded rows pile up.
 MOST_LOADS = 32
 
@@ -34,6 +42,7 @@ class Index:
     loads: DataFrame
     postings: DataFrame
     terms: DataFrame
+    blocks: DataFrame
     docs: DataFrame
     gone: DataFrame
 
@@ -59,7 +68,8 @@ def _columns(ids: str) -> dict[str, str]:
     """The columns of each table of a generation, for ids of a type."""
     carried = ", ".join(f"{c} string" for c in CARRIED)
     return {"docs": f"id {ids}, {carried}, summary string, doc_len bigint, print bigint, load string",
-            "postings": f"id {ids}, {carried}, doc_len bigint, load string, term string, tf bigint, term_part int",
+            "postings": f"id {ids}, {carried}, doc_len bigint, load string, term string, tf bigint, block int, term_part int",
+            "blocks": "term string, block int, n bigint, most_tf bigint, least_spread double, least_cost double, load string, term_part int",
             "terms": "term string, n_docs bigint, load string, term_part int",
             "gone": f"id {ids}, doc_len bigint, load string, by string",
             "loads": "load string, n_docs bigint, total_len bigint"}
@@ -94,7 +104,7 @@ def open_index(spark: SparkSession, path: str) -> Index:
         return _read(spark, folder, name).join(ended, "load", "left_semi")
 
     gone = _read(spark, folder, "gone").join(ended.withColumnRenamed("load", "by"), "by", "left_semi").select("id", "load")
-    return Index(folder, loads, table("postings"), table("terms"), table("docs"), gone)
+    return Index(folder, loads, table("postings"), table("terms"), table("blocks"), table("docs"), gone)
 
 
 def append_index(corpus: DataFrame, path: str, id_column: str = "transcript_id", text_column: str = "search_text") -> None:
@@ -113,8 +123,8 @@ def refresh_index(corpus: DataFrame, path: str, deleted: DataFrame | None = None
 
 
 def _load(corpus: DataFrame, path: str, id_column: str, text_column: str, replace: bool, deleted: DataFrame | None) -> None:
-    """One load: postings has a row per term of a document, in folders by term, sorted by term; terms counts documents per
-    term; docs has a row per version of a document; gone names versions that count no more, for which terms and the load's
+    """One load: postings has a row per term of a document, in folders by term, sorted by term and block; blocks says what
+    each block of a term holds at most; terms counts documents per term; docs has a row per version of a document; gone names versions that count no more, for which terms and the load's
     totals count backwards. The load's own row is written last: until then nothing of it is read."""
     spark = corpus.sparkSession
     if not whole_versions(spark, f"{path}/generations"):
@@ -134,6 +144,7 @@ def _load(corpus: DataFrame, path: str, id_column: str, text_column: str, replac
         "append").parquet(f"{index.folder}/gone")
     gone = _read(spark, index.folder, "gone").where(F.col("by") == load)
     _write_postings(fresh, index.folder)
+    _write_blocks(spark, index.folder, load)
     new = _read(spark, index.folder, "postings").where(F.col("load") == load)
     lost = index.postings.join(gone.select("id", "load"), ["id", "load"], "left_semi")
     counts = new.select("term_part", "term", F.lit(1).alias("n")).unionByName(lost.select("term_part", "term", F.lit(-1).alias("n")))
@@ -148,13 +159,33 @@ def _load(corpus: DataFrame, path: str, id_column: str, text_column: str, replac
 
 def _write_postings(docs: DataFrame, folder: str) -> None:
     own = ["id", *CARRIED, "doc_len", "load"]
-    postings = docs.select(*own, F.explode("tokens").alias("term")).groupBy(*own, "term").agg(F.count("*").alias("tf")).withColumn(
-        "term_part", _part("term", TERM_PARTS))
-    _by_term(postings).write.mode("append").partitionBy("term_part").parquet(f"{folder}/postings")
+    postings = docs.select(*own, F.explode("tokens").alias("term")).groupBy(*own, "term").agg(F.count("*").alias("tf")).withColumns({
+        "block": F.floor(BLOCKS * _worth(F.col("tf"), F.col("doc_len"), F.lit(USUAL_WORDS))).cast("int"),
+        "term_part": _part("term", TERM_PARTS)})
+    _by_term(postings, "block").write.mode("append").partitionBy("term_part").parquet(f"{folder}/postings")
 
 
-def _by_term(rows: DataFrame) -> DataFrame:
-    return rows.hint("rebalance", F.col("term_part")).sortWithinPartitions("term_part", "term")
+def _worth(tf: Column, doc_len: Column, average: Column) -> Column:
+    """The part of a term's weight that a document gets: more with its count, less with the document's length."""
+    return tf / (tf + F.lit(K1) * (F.lit(1 - B) + F.lit(B) * doc_len / average))
+
+
+def _cost(tf: Column, spread: Column, average: Column) -> Column:
+    """What _worth, as 1 / (1 + cost), loses for a count and a number of words per occurrence."""
+    return F.lit(K1 * (1 - B)) / tf + F.lit(K1 * B) * spread / average
+
+
+def _write_blocks(spark: SparkSession, folder: str, load: str) -> None:
+    """What the load's postings, already written, hold by term and block."""
+    spread = F.col("doc_len") / F.col("tf")
+    found = _read(spark, folder, "postings").where(F.col("load") == load).groupBy("term_part", "term", "block").agg(
+        F.count("*").alias("n"), F.max("tf").alias("most_tf"), F.min(spread).alias("least_spread"),
+        F.min(_cost(F.col("tf"), spread, F.lit(USUAL_WORDS))).alias("least_cost")).withColumn("load", F.lit(load))
+    _by_term(found).write.mode("append").partitionBy("term_part").parquet(f"{folder}/blocks")
+
+
+def _by_term(rows: DataFrame, *then: str) -> DataFrame:
+    return rows.hint("rebalance", F.col("term_part")).sortWithinPartitions("term_part", "term", *then)
 
 
 def _write_terms(counts: DataFrame, folder: str) -> None:
@@ -174,7 +205,8 @@ def compact_index(spark: SparkSession, path: str) -> None:
     folder = _begin(spark, path, before + 1, index.docs.schema["id"].dataType)
     own = F.lit(load).alias("load")
     live = index.postings.join(index.gone, ["id", "load"], "left_anti").withColumn("load", own)
-    _by_term(live).write.mode("append").partitionBy("term_part").parquet(f"{folder}/postings")
+    _by_term(live, "block").write.mode("append").partitionBy("term_part").parquet(f"{folder}/postings")
+    _write_blocks(spark, folder, load)
     _write_terms(index.terms.groupBy("term_part", "term").agg(F.sum("n_docs").alias("n_docs")).withColumn("load", own), folder)
     index.live_docs.withColumn("load", own).select("id", *CARRIED, "summary", "doc_len", "print", "load").write.mode("append").parquet(f"{folder}/docs")
     _write_load(_read(spark, folder, "docs").select("doc_len", F.lit(1).alias("n")), load, folder)
@@ -191,7 +223,8 @@ def search_index(queries: DataFrame, path: str, k: int = 5, per: str | None = No
     `queries` holds (query_id, text) and any of the FILTERS; a null filter lets all documents pass, any other column is
     refused. Statistics cover the whole index and come from the rows of its loads. Only the folders of the queries' terms are
     read, and in their sorted files the row groups that hold the terms; a term's documents are dealt over DOC_PARTS. With
-    `per` the top k are per query and value of that column, limited to those that `members` lists, if given.
+    `per` the top k are per query and value of that column, limited to those that `members` lists, if given; without it only
+    the blocks of a term are read that can still change a query's top k.
     """
     unknown = set(queries.columns) - {"query_id", "text", *FILTERS}
     if unknown:
@@ -213,18 +246,70 @@ def search_index(queries: DataFrame, path: str, k: int = 5, per: str | None = No
     size = index.loads.agg(F.struct(F.sum("n_docs").alias("n_docs"), F.sum("total_len").alias("total_len"))).scalar()
     weighed = (wanted.join(frequency, ["term_part", "term"]).withColumn("size", size)
                .withColumn("idf", F.log(F.lit(1.0) + (F.col("size.n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)))
-               .withColumn("average", F.col("size.total_len") / F.col("size.n_docs")).drop("size", "df")
-               .withColumn("doc_part", F.explode(F.sequence(F.lit(0), F.lit(DOC_PARTS - 1)))))
-    if members is not None:
+               .withColumn("average", F.col("size.total_len") / F.col("size.n_docs")).drop("size", "df"))
+
+    def scored(postings: DataFrame, weighed: DataFrame, on: list[str]) -> DataFrame:
+        dealt = weighed.withColumn("doc_part", F.explode(F.sequence(F.lit(0), F.lit(DOC_PARTS - 1))))
+        matched = postings.withColumn("doc_part", _part("id", DOC_PARTS)).join(dealt, [*on, "doc_part"])
+        matched = matched.where(reduce(and_, [
+            F.col(f"only_{c}").isNull() | (F.col(f"only_{c}") == F.col(c)) for c in asked], F.lit(True)))
+        return matched.join(index.gone, ["id", "load"], "left_anti").withColumn(
+            "score", F.col("n") * F.col("idf") * (K1 + 1) * _worth(F.col("tf"), F.col("doc_len"), F.col("average")))
+
+    on = ["term_part", "term"]
+    if per is None and members is None:
+        on = [*on, "block"]
+        weighed = _needed_blocks(weighed, index, named, k, scored)
+        postings = postings.where(_least_blocks(weighed))
+    elif members is not None:
         postings = postings.join(members.select(per).distinct(), per, "left_semi")
-    matched = postings.withColumn("doc_part", _part("id", DOC_PARTS)).join(weighed, ["term_part", "term", "doc_part"])
-    matched = matched.where(reduce(and_, [
-        F.col(f"only_{c}").isNull() | (F.col(f"only_{c}") == F.col(c)) for c in asked], F.lit(True)))
-    matched = matched.join(index.gone, ["id", "load"], "left_anti")
-    norm = F.lit(K1) * (F.lit(1 - B) + F.lit(B) * F.col("doc_len") / F.col("average"))
-    score = F.col("n") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + norm)
+    matched = scored(postings, weighed, on)
     keys = ["query_id", *([per] if per else [])]
-    hits = matched.groupBy(*keys, "id", "load").agg(F.sum(score).alias("score")).where(F.col("score") > 0)
+    hits = matched.groupBy(*keys, "id", "load").agg(F.sum("score").alias("score")).where(F.col("score") > 0)
     best = _ranked(hits, keys, "id", k).select("query_id", "id", "load", "rank", "score")
     return best.join(index.docs.select("id", "load", *SHOWN, "summary"), ["id", "load"]).select(
         "query_id", "id", "rank", "score", *SHOWN, "summary")
+
+
+def _needed_blocks(weighed: DataFrame, index: Index, named: Column, k: int, scored) -> DataFrame:
+    """The rows of `weighed` with every block of the term that may hold one of the query's top k, written once.
+
+    First the best blocks of each term are scored, as many as hold k postings. The k-th sum found for a query is a floor: what
+    is counted of a document can only grow. A document of some block scores at most what the block may and what the best
+    blocks of the query's other terms may; blocks that stay below the floor are left out, whole, so every document that
+    reaches it is scored in full. Queries that find fewer than k have no floor.
+    """
+    spark = weighed.sparkSession
+    held = index.blocks.where(named).groupBy("term_part", "term", "block").agg(
+        F.sum("n").alias("held"), F.max("most_tf").alias("most_tf"), F.min("least_spread").alias("least_spread"),
+        F.min("least_cost").alias("least_cost"))
+    # both parts of the cost at their least; or the least sum at the usual length, which shrinks no faster than lengths do
+    cost = F.greatest(_cost(F.col("most_tf"), F.col("least_spread"), F.col("average")),
+                      F.col("least_cost") * F.least(F.lit(1.0), F.lit(USUAL_WORDS) / F.col("average")))
+    may = F.col("n") * F.col("idf") * (K1 + 1) / (F.lit(1.0) + cost)
+    of_term = Window.partitionBy("query_id", "term_part", "term")
+    before = of_term.orderBy(F.desc("may"), "block").rowsBetween(Window.unboundedPreceding, -1)
+    best = F.max("may").over(of_term)
+    bounded = weighed.join(held, ["term_part", "term"]).withColumn("may", may).withColumns(
+        {"best": best, "before": F.coalesce(F.sum("held").over(before), F.lit(0))})
+    of_query = bounded.groupBy("query_id", "term").agg(F.first("best").alias("best")).groupBy("query_id").agg(F.sum("best").alias("all"))
+    bounded = bounded.join(of_query, "query_id").drop("held", "most_tf", "least_spread", "least_cost")
+    path = scratch_path(spark, "blocks")
+    bounded.write.parquet(f"{path}/bounded")
+    bounded = spark.read.parquet(f"{path}/bounded")
+    first = bounded.where(F.col("before") < k)
+    sums = scored(index.postings.where(named & _least_blocks(first)), first, ["term_part", "term", "block"]).groupBy(
+        "query_id", "id", "load").agg(F.sum("score").alias("score"))
+    floors = _ranked(sums, ["query_id"], "id", k).groupBy("query_id").agg(F.when(F.count("*") >= k, F.min("score")).alias("floor"))
+    reach = F.col("floor").isNull() | (F.col("may") + F.col("all") - F.col("best") >= F.col("floor") - SLACK)
+    bounded.join(floors, "query_id", "left").where(reach).drop("may", "best", "all", "before", "floor").write.parquet(f"{path}/needed")
+    return spark.read.parquet(f"{path}/needed")
+
+
+def _least_blocks(needed: DataFrame) -> Column:
+    """A condition for the scan: of each term only blocks from the least one that any query needs."""
+    least = needed.groupBy("term").agg(F.min("block").alias("block"))
+    terms = least.limit(PUSHED_BLOCKS + 1).collect()
+    if len(terms) > PUSHED_BLOCKS:
+        return F.col("block") >= F.lit(least.agg(F.min("block")).first()[0])
+    return reduce(or_, [(F.col("term") == r.term) & (F.col("block") >= r.block) for r in terms], F.lit(False))

@@ -28,9 +28,17 @@ def build_session(app: str = "havenlens", master: str | None = None, **extra: st
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that every executor shares: spark.checkpoint.dir, or a folder of the warehouse where it is unset."""
+    """The folder that every executor shares: spark.checkpoint.dir, or a folder of the warehouse where it is unset.
+
+    On a cluster a warehouse that nobody has set is a folder of the driver's machine, so it is refused.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    return folder or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/scratch"
+    if folder:
+        return folder
+    context = spark.sparkContext
+    if not context.master.startswith("local") and not context.getConf().contains("spark.sql.warehouse.dir"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/scratch"
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:

@@ -240,3 +240,31 @@ def test_changed_and_deleted_calls_and_many_loads_equal_a_fresh_build(spark, ind
     one = spark.createDataFrame([("z", "zebra")], "query_id string, text string")
     plan = search_index.search_index(one, path)._jdf.queryExecution().executedPlan().toString()
     assert "EqualTo(term,zebra)" in plan or "In(term, [zebra])" in plan
+
+
+def test_blocks_that_cannot_reach_the_top_are_not_read(spark, tmp_path):
+    """Texts of many lengths and counts: the answer is that of a scan, and of common terms only the best blocks are read."""
+    from havenlens.operators import search_index
+
+    rng, rare = random.Random(3), "alpha beta gamma".split()
+    texts = {f"d{i:04d}": " ".join(["claim"] * rng.choice([1, 1, 2, 5, 9]) + rng.choices(["other", "words", "here"], k=rng.randint(0, 150))
+                                   + ([rng.choice(rare)] if i % 40 == 0 else [])) for i in range(1500)}
+    corpus = spark.createDataFrame([(i, f"c{int(i[1:]) % 9}", None, "2001-09-01", "x" if i < "d0700" else "y", "z", "s", t) for i, t in texts.items()],
+                                   "transcript_id string, customer_id string, policy_id string, call_date string, primary_intent string, "
+                                   "sentiment_label string, summary string, search_text string")
+    path = str(tmp_path / "index")
+    search_index.append_index(corpus.where("transcript_id < 'd0900'"), path)
+    search_index.append_index(corpus, path)
+    asked = [("one", "claim", None), ("two", "claim alpha alpha", None), ("three", "words claim here", "y"), ("all", "beta", None), ("none", "zebra", None)]
+    want = search.keyword_search(corpus, [search.SearchQuery(q, text, {"primary_intent": f} if f else {}) for q, text, f in asked], 5).collect()
+    queries = spark.createDataFrame(asked, "query_id string, text string, primary_intent string")
+    got = search_index.search_index(queries, path, 5).collect()
+    assert {(r.query_id, r["rank"]): (r.id, round(r.score, 9)) for r in got} == {
+        (r.query_id, r["rank"]): (r.transcript_id, round(r.score, 9)) for r in want} and len(got) == 20
+    found = search_index.search_index(queries.where("query_id = 'one'").drop("primary_intent"), path, 5)
+    found.collect()
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    pushed = re.search(r"block#\d+ >= (\d+)", plan)
+    postings = search_index.open_index(spark, path).postings.where("term = 'claim'")
+    read = postings.where(functions.col("block") >= int(pushed[1])).count()
+    assert postings.count() == 1500 and 5 <= read < 300
