@@ -3,12 +3,17 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from weakref import WeakKeyDictionary
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from havenlens.session import scratch_path
+from havenlens.sources.versions import drop
+
+#: Where steps lie, for as long as somebody holds them.
+_FOLDERS: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
 
 
 def read(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -30,7 +35,17 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """Write a step to the shared folder and read it back: what follows sees one version, and lineage ends here."""
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    step = df.sparkSession.read.schema(df.schema).parquet(path)
+    _FOLDERS[step] = path
+    return step
+
+
+def done_with(*steps: DataFrame) -> None:
+    """Remove stored steps that nothing will read again: all that came of them is stored itself."""
+    for step in steps:
+        folder = _FOLDERS.pop(step, None)
+        if folder:
+            drop(step.sparkSession, folder)
 
 
 def let(value: Column, body) -> Column:

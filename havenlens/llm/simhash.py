@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from havenlens.llm.common import join_keys, slices, stored, texts, with_row
+from havenlens.llm.common import done_with, join_keys, slices, stored, texts, with_row
 from havenlens.llm.components import connected_components
 
 SEED = 42
@@ -213,10 +213,13 @@ def groups(fps: DataFrame, most_bits: int = 2, crowded: int = CROWDED) -> DataFr
     """
     distinct = stored(fps.groupBy("fp").agg(F.count("*").alias("n"), F.min("doc_id").alias("least")), "fingerprints")
     members = stored(connected_components(links(distinct.select("fp"), most_bits, crowded)), "members")
-    least = members.join(distinct.withColumnRenamed("fp", "node"), "node").groupBy("root").agg(F.min("least").alias("component"))
-    named = members.join(least, "root").select(F.col("node").alias("fp"), "root", "component")
-    return stored(distinct.join(named, "fp", "left").select(
+    least = members.join(distinct.withColumnRenamed("fp", "node"), "node").groupBy("root").agg(
+        F.min("least").alias("component"), F.count("*").alias("size"))
+    named = join_keys(members, least, "root", "size").select(F.col("node").alias("fp"), "root", "component")
+    told = stored(distinct.join(named, "fp", "left").select(
         "fp", "n", F.coalesce("root", "fp").alias("root"), F.coalesce("component", "least").alias("component_id")), "components")
+    done_with(distinct, members)
+    return told
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 3, most_bits: int = 2, id_col: str = "doc_id", text_col: str = "text",

@@ -67,6 +67,20 @@ def test_components_of_a_long_chain_and_a_star(spark):
     assert connected_components(spark.createDataFrame([(1, 1)], "a long, b long")).count() == 0
 
 
+def test_components_of_a_hub_are_whole_and_leave_one_step(spark):
+    """One node with nearly all links, as larger and as smaller end, and a chain behind it."""
+    from pathlib import Path
+
+    from havenlens.session import shared_folder
+
+    pairs = [(5000, i) for i in range(2000, 4500)] + [(1, i) for i in range(6000, 8500)] + [(8499, 9000), (9000, 9001), (4499, 10)]
+    rows = connected_components(spark.createDataFrame(pairs, "a long, b long").repartition(5), "hublinks").collect()
+    got = {r.node: r.root for r in rows}
+    assert len(rows) == len(got) == 2502 + 2503
+    assert {got[i] for i in (5000, 10, *range(2000, 4500))} == {10} and {got[i] for i in (1, 9000, 9001, *range(6000, 8500))} == {1}
+    assert len(list(Path(shared_folder(spark).removeprefix("file:")).glob("hublinks-*"))) == 1
+
+
 def expected_rows():
     rows = [(i, t, brute_fingerprint(t)) for i, t, _ in edge_rows()]
     groups = {fp: g for g in brute_groups([r[2] for r in rows], 2) for fp in g}
