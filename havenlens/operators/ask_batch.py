@@ -48,8 +48,8 @@ def _bucket(day: str) -> Column:
     return F.floor(F.unix_date(day) / BUCKET_DAYS).cast("int")
 
 
-def policy_matches(specs: DataFrame, policies: DataFrame) -> DataFrame:
-    """(question_id, customer_id, n_policies, renewal_date, policy_premium) for questions about policies.
+def _asked_policies(specs: DataFrame, policies: DataFrame) -> DataFrame:
+    """(question_id, customer_id, policy_id, renews, annual_premium): the policies that questions about policies mean.
 
     An interval join: a window is cut into buckets of days and joined with the policies that renew in them by equality, as
     are products; the days at its ends are then checked. Windows of very many buckets meet every policy of their products.
@@ -60,11 +60,16 @@ def policy_matches(specs: DataFrame, policies: DataFrame) -> DataFrame:
         "question_id", "first", "last", F.explode(_or_any("products")).alias("product_key"),
         F.when(whole, F.array(F.lit(-1))).otherwise(buckets).alias("buckets")).select("*", F.explode("buckets").alias("bucket")).drop("buckets")
     live = policies.where(F.col("status") != K.LAPSED).select(
-        "customer_id", F.col("renewal_date").alias("renews"), "annual_premium", "product_line",
+        "customer_id", "policy_id", F.col("renewal_date").alias("renews"), "annual_premium", "product_line",
         F.explode(F.array("product_line", F.lit(ANY))).alias("product_key")).select(
         "*", F.explode(F.array(_bucket("renews"), F.lit(-1))).alias("bucket"))
     met = asked.join(live, ["product_key", "bucket"]).where("first IS NULL OR renews BETWEEN first AND last")
-    return met.groupBy("question_id", "customer_id").agg(
+    return met.select("question_id", "customer_id", "policy_id", "renews", "annual_premium")
+
+
+def policy_matches(specs: DataFrame, policies: DataFrame) -> DataFrame:
+    """(question_id, customer_id, n_policies, renewal_date, policy_premium) for questions about policies."""
+    return _asked_policies(specs, policies).groupBy("question_id", "customer_id").agg(
         F.count("*").alias("n_policies"), F.min("renews").alias("renewal_date"), F.sum("annual_premium").alias("policy_premium"))
 
 
@@ -140,6 +145,12 @@ def batch_table(cohort: DataFrame) -> DataFrame:
         churn.top_drivers(F.col("risk_drivers"), 3).alias("top_drivers"), "action")
 
 
+def batch_policies(specs: DataFrame, cohort: DataFrame, policies: DataFrame) -> DataFrame:
+    """The policies behind the answers' tables, a row each; questions that are not about policies have none."""
+    told = _asked_policies(specs, policies).join(cohort.select("question_id", "customer_id"), ["question_id", "customer_id"])
+    return told.select("question_id", "customer_id", F.col("renews").alias("renewal_date"), "policy_id")
+
+
 def _most_frequent(counts: DataFrame, name: str, k: int) -> DataFrame:
     nth = F.row_number().over(Window.partitionBy("question_id").orderBy(F.desc("n_customers"), name))
     return counts.withColumn("nth", nth).where(F.col("nth") <= k).select("question_id", name, "n_customers")

@@ -11,30 +11,21 @@ from havenlens import constants as K
 from havenlens import schemas
 from havenlens.functions.numeric import ratio
 from havenlens.functions.times import moment
+from havenlens.sources.versions import claim
 
 STATUS_COLUMNS = ("action_category", "action", "status", "agent", "ts", "note")
 
 
-def log_entries(decisions: DataFrame, log: DataFrame, agent: str | None = None,
-                now: dt.datetime | None = None) -> DataFrame:
-    """Log rows for new decisions: ids above every stored one, default agent and timestamp filled in."""
-    columns = set(decisions.columns)
-    last = log.select(F.coalesce(F.max("log_id"), F.lit(0))).scalar()
-    rows = decisions.withColumns({
-        "log_id": last + 1 + F.monotonically_increasing_id(),
-        "agent": F.coalesce("agent", F.lit(agent)) if "agent" in columns else F.lit(agent),
-        "ts": F.coalesce("ts", moment(now)) if "ts" in columns else moment(now),
-    })
-    return schemas.conform(rows, schemas.ACTION_LOG)
-
-
 def append_action_log(decisions: DataFrame, path: str, agent: str | None = None,
                       now: dt.datetime | None = None) -> None:
-    """Append decisions to the log at `path`, which the first ones start. One writer at a time."""
-    spark = decisions.sparkSession
-    spark.createDataFrame([], schemas.ACTION_LOG).write.mode("ignore").parquet(path)
-    log = spark.read.schema(schemas.ACTION_LOG).parquet(path)
-    log_entries(decisions, log, agent, now).write.mode("append").parquet(path)
+    """Append decisions to the log at `path`, which the first ones start and read_log reads.
+
+    An append is a folder batch=n of its own. Its number is claimed by a file that only one writer can create, and ids are told
+    by the number and the row's place, so no stored id is read and several writers may append at once. An append that broke
+    off keeps its number and is not read; the next one takes another.
+    """
+    number = claim(decisions.sparkSession, path, "batch")
+    batch_entries(decisions, number, agent, now).write.parquet(f"{path}/batch={number}")
 
 
 #: Ids of one arriving batch: the high bits are its number, below are the part that holds the row and the row's place there.

@@ -1020,6 +1020,35 @@ def _(c):
     return ask_batch.batch_table(batch(c)[1])
 
 
+def _most_frequent_of_each(counted: str, name: str) -> str:
+    return f"""SELECT question_id, {name}, n_customers FROM (SELECT question_id, {name}, count(*) AS n_customers,
+ row_number() OVER (PARTITION BY question_id ORDER BY count(*) DESC, {name}) AS nth FROM {counted} GROUP BY question_id, {name}) t
+ WHERE nth <= 3"""
+
+
+_ASKED_ABOUT = "(" + " UNION ALL ".join(
+    f"SELECT CAST({i} AS BIGINT) AS question_id, customer_id, action_category FROM nba WHERE {where}" for i, where in enumerate(_COHORTS)) + ") m"
+
+
+@query("ask_batch_drivers", _most_frequent_of_each(f"{_ASKED_ABOUT} JOIN drivers USING (customer_id) WHERE points > 0", "factor"))
+def _(c):
+    return ask_batch.batch_drivers(batch(c)[1])
+
+
+@query("ask_batch_plays", _most_frequent_of_each(_ASKED_ABOUT, "action_category"))
+def _(c):
+    return ask_batch.batch_plays(batch(c)[1])
+
+
+@query("ask_batch_policies", " UNION ALL ".join(
+    f"SELECT CAST({i} AS BIGINT) AS question_id, customer_id, renewal_date, policy_id FROM {meant} "
+    f"WHERE customer_id IN (SELECT customer_id FROM nba WHERE {who})"
+    for i, meant, who in ((0, HEALTH_RENEWALS, "risk_band = 'High'"), (4, _policies_where(NEXT_30), _called("claim_issue")))))
+def _(c):
+    specs, cohort = batch(c)
+    return ask_batch.batch_policies(specs, cohort, c.book.policies)
+
+
 @query("lookup_batch", """SELECT CAST(substr(asked.customer_id, 2) AS BIGINT) AS question_id, nba.customer_id, nba.full_name, nba.risk_band,
  nba.risk_score, coalesce(top_three_listed, '') AS drivers, nba.action,
  coalesce(nullif(replace(nba.evidence, ',', ', '), ''), '—') AS evidence
@@ -1167,6 +1196,20 @@ def _(c):
     return shown_score(search.hybrid_search(by_text, by_vector.withColumnRenamed("vec_id", "doc_id")))
 
 
+@query("hybrid_search_index")
+def _(c):
+    """Both lists from stored indexes."""
+    texts, vectors, path = c.table("documents"), c.table("embeddings"), c.scratch("index")
+    none = [F.lit(None).cast("string").alias(name) for name in (*search_index.CARRIED, "summary")]
+    search_index.append_index(texts.select("doc_id", "text", *none), f"{path}/texts", "doc_id", "text")
+    vector_index.append_vectors(vectors, f"{path}/vectors")
+    asked = c.spark.createDataFrame([(q.query_id, q.text) for q in DOCUMENT_SEARCHES], "query_id string, text string")
+    by_text = search_index.search_index(asked, f"{path}/texts", 20)
+    by_vector = vector_index.search_vector_index(label_centres(vectors).drop("label"), f"{path}/vectors", 20, exact=True)
+    fused = search.hybrid_search(by_text, by_vector, id_column="id")
+    return shown_score(fused.withColumnRenamed("id", "doc_id"))
+
+
 @query("keyword_search_index", _bm25_check(CORPUS_SQL, "transcript_id", "search_text", CALL_SEARCHES, 5, final="""
  SELECT query_id, transcript_id AS id, rank, score, customer_id, call_date, primary_intent, sentiment_label, summary
  FROM ranked JOIN (SELECT transcript_id, customer_id, call_date, primary_intent, sentiment_label, summary FROM docs) d
@@ -1264,6 +1307,11 @@ def _(c):
         c.book.logical_tables, ["customer_segment"], list(semantic.METRICS)))
 
 
+@query("semantic_by_segment_stored")
+def _(c):
+    return shown_metrics(semantic.semantic_query(keyed_book(c).logical_tables, ["customer_segment"], list(semantic.METRICS)))
+
+
 @query("semantic_by_band", f"""SELECT risk_band AS churn_risk_band, count(*) AS customer_count,
  CAST(sum(premium_at_risk) AS BIGINT) AS at_risk_premium,
  count(*) FILTER (days_to_renewal BETWEEN 0 AND 30) AS renewals_due_30d FROM nba GROUP BY 1""")
@@ -1285,6 +1333,14 @@ def _(c):
          "cancellation_calls"]))
 
 
+@query("semantic_by_call_intent_stored")
+def _(c):
+    return shown_metrics(semantic.semantic_query(
+        keyed_book(c).logical_tables, ["call_intent"],
+        ["customer_count", "book_premium", "at_risk_premium", "call_count", "avg_sentiment", "negative_call_share",
+         "cancellation_calls"]))
+
+
 @query("semantic_filtered", f"""SELECT city AS customer_city, risk_band AS churn_risk_band, count(*) AS customer_count,
  CAST(sum(total_annual_premium) AS BIGINT) AS book_premium, {NBA_METRICS_SQL} FROM nba
  JOIN (SELECT customer_id, has_health, state FROM c360) h USING (customer_id)
@@ -1423,5 +1479,5 @@ def _(c):
 
 
 #: A query of the stored book or index is checked as the one that starts from the sources.
-CHECKS |= {f"{name}_stored": CHECKS[name] for name in ("customer_card", "source_health")}
-CHECKS |= {f"{name}_index": CHECKS[name] for name in ("customer_evidence_search", "cohort_with_evidence")}
+CHECKS |= {f"{name}_stored": CHECKS[name] for name in ("customer_card", "source_health", "semantic_by_segment", "semantic_by_call_intent")}
+CHECKS |= {f"{name}_index": CHECKS[name] for name in ("customer_evidence_search", "cohort_with_evidence", "hybrid_search")}

@@ -16,6 +16,22 @@ def whole_versions(spark: SparkSession, path: str) -> list[int]:
                   and files.exists(spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS")))
 
 
+def claim(spark: SparkSession, path: str, name: str) -> int:
+    """A number above those of all folders name=n below a path, claimed for the caller by a file that can be created once.
+
+    Claims lie in a folder that Spark's readers skip. The file system must create files atomically, as HDFS does.
+    """
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    claims = hadoop.Path(f"{path}/_claims")
+    files = claims.getFileSystem(spark._jsc.hadoopConfiguration())
+    files.mkdirs(claims)
+    names = [s.getPath().getName() for folder in (claims, claims.getParent()) for s in files.listStatus(folder)]
+    number = max((int(n.partition("=")[2]) for n in names if n.startswith(f"{name}=")), default=0) + 1
+    while not files.createNewFile(hadoop.Path(claims, f"{name}={number}")):
+        number += 1
+    return number
+
+
 def drop(spark: SparkSession, path: str) -> None:
     folder = spark._jvm.org.apache.hadoop.fs.Path(path)
     folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)

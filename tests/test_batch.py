@@ -54,6 +54,7 @@ def test_answers_are_the_single_ones(batch, book):
     cohort = cohort.cache()
     totals, tables = by_question(ask_batch.batch_totals(specs, cohort)), by_question(ask_batch.batch_table(cohort))
     drivers, plays = by_question(ask_batch.batch_drivers(cohort)), by_question(ask_batch.batch_plays(cohort))
+    behind = by_question(ask_batch.batch_policies(specs, cohort, book.policies))
     filled = 0
     for i, question in enumerate(QUESTIONS):
         one = ask.ask(question, book.nba, book.policies, book.insights, AS_OF)
@@ -63,14 +64,17 @@ def test_answers_are_the_single_ones(batch, book):
         assert [{k: r[k] for k in t} for r, t in zip(mine, table)] == table and len(mine) == len(table), question
         assert drivers.get(i, []) == [r.asDict() for r in one.drivers.collect()]
         assert plays.get(i, []) == [r.asDict() for r in one.plays.collect()]
+        listed = [] if one.policies is None else [r.asDict() for r in one.policies.collect()]
+        assert sorted(behind.get(i, []), key=lambda r: r["policy_id"]) == sorted(listed, key=lambda r: r["policy_id"]), question
         filled += bool(table)
     cohort.unpersist()
     assert filled >= 8 and totals[99] == totals[5]
 
 
-def test_no_question_meets_all_customers_in_a_loop(batch, spark):
+def test_no_question_meets_all_customers_in_a_loop(batch, book):
     specs, cohort = batch
-    for df in (cohort, ask_batch.batch_totals(specs, cohort), ask_batch.batch_table(cohort)):
+    for df in (cohort, ask_batch.batch_totals(specs, cohort), ask_batch.batch_table(cohort),
+               ask_batch.batch_policies(specs, cohort, book.policies)):
         plan = plan_of(df)
         assert "NestedLoop" not in plan and "Cartesian" not in plan
     assert "WindowGroupLimit" in plan_of(cohort)

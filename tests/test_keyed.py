@@ -53,6 +53,15 @@ def test_360_actions_and_cards_exchange_nothing(stored, no_broadcast):
         assert "Exchange" not in plan_of(df), plan_of(df)
 
 
+def test_semantic_queries_exchange_nothing_by_customer(stored, book, no_broadcast):
+    from havenlens.operators import semantic
+
+    for dimensions in (["customer_segment"], ["call_intent"], ["churn_risk_band", "customer_city"]):
+        on, plain = (semantic.semantic_query(b.logical_tables, dimensions, ["customer_count", "at_risk_premium", "call_count"])
+                     for b in (stored[1], book))
+        assert "hashpartitioning(customer_id" not in plan_of(on) and on.exceptAll(plain).count() == plain.exceptAll(on).count() == 0
+
+
 def test_a_card_reads_one_bucket_per_customer(stored, no_broadcast):
     ids = ["none", "hot", "tie"]
     card = serving.customer_card(stored[1].nba, stored[1].c360, ids)

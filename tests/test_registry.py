@@ -15,7 +15,9 @@ from havenlens.plans import registry
 FOLDER = "/root/testdata/sf0.001"
 SOME = ("key_checks", "interaction_insights", "customer_360", "churn_risk", "next_best_actions", "source_health",
         "renewal_pipeline", "risk_histogram", "ask_health_renewals", "keyword_search", "hybrid_search",
-        "cohort_with_evidence", "semantic_by_call_intent", "action_status", "governed_select")
+        "cohort_with_evidence", "semantic_by_call_intent", "action_status", "governed_select",
+        "append_action_log", "ask_batch_drivers", "ask_batch_plays", "ask_batch_policies", "hybrid_search_index",
+        "semantic_by_segment_stored", "semantic_by_call_intent_stored")
 NAMES = list(registry.QUERIES) if os.environ.get("HAVENLENS_ALL") else SOME
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="test tables are not here")

@@ -74,6 +74,37 @@ def test_the_first_append_starts_the_log_and_ids_rise_with_every_other(spark, tm
     assert {r.agent for r in log.collect()} == {"me"}
 
 
+def test_several_writers_append_at_once(spark, tmp_path, monkeypatch):
+    from concurrent.futures import ThreadPoolExecutor
+
+    path = str(tmp_path / "log")
+
+    def append(i):
+        batch = spark.createDataFrame([(f"c{i}", "Accepted"), ("all", "Done")], "customer_id string, status string")
+        decisions.append_action_log(batch, path, agent=f"a{i}", now=STAMP + dt.timedelta(minutes=i))
+
+    with ThreadPoolExecutor(6) as pool:
+        list(pool.map(append, range(6)))
+    real = decisions.batch_entries
+
+    def lost(*_):
+        raise RuntimeError("lost")
+
+    monkeypatch.setattr(decisions, "batch_entries", lost)
+    with pytest.raises(RuntimeError):
+        append(6)
+    monkeypatch.setattr(decisions, "batch_entries", real)
+    before = {r.log_id for r in decisions.read_log(spark, path).select("log_id").collect()}
+    append(7)
+    append(8)
+    log = decisions.read_log(spark, path)
+    assert log.count() == log.select("log_id").distinct().count() == 16
+    assert {r.customer_id for r in log.collect()} == {"all", *(f"c{i}" for i in (0, 1, 2, 3, 4, 5, 7, 8))}
+    eight, seven = (min(r.log_id for r in log.where(F.col("agent") == a).collect()) for a in ("a8", "a7"))
+    assert eight > seven > max(before)
+    assert {r.agent for r in decisions.action_status(log).where("customer_id = 'all'").collect()} == {"a8"}
+
+
 def test_later_stages_add_new_calls_only(spark, sample, tmp_path):
     import dataclasses
 
@@ -261,10 +292,22 @@ def test_shared_folder_without_a_setting_is_in_the_warehouse(monkeypatch):
         def get(self, name, default=None):
             return {"spark.sql.warehouse.dir": "hdfs://x/warehouse/"}.get(name, default)
 
+    chosen = {"spark.sql.warehouse.dir"}
+
+    class Settings:
+        contains = staticmethod(lambda name: name in chosen)
+
     class Bare:
         conf = Conf()
 
         class sparkContext:
+            master = "spark://host:7077"
+            getConf = staticmethod(lambda: Settings)
             getCheckpointDir = staticmethod(lambda: None)
 
     assert session.shared_folder(Bare) == "hdfs://x/warehouse/scratch"
+    chosen.clear()  # a cluster where nobody has said which folder is shared
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        session.shared_folder(Bare)
+    Bare.sparkContext.master = "local[4]"
+    assert session.shared_folder(Bare) == "hdfs://x/warehouse/scratch"
