@@ -20,8 +20,9 @@ def connected_components(links: DataFrame, name: str = "links") -> DataFrame:
         links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), name)
     state = _checksum(edges)
     while state[0]:
-        former, edges = edges, stored(_small_star(_large_star(edges)), name)
-        done_with(former)
+        larger = stored(_large_star(edges), name)  # read several times by the next step
+        former, edges = edges, stored(_small_star(larger), name)
+        done_with(former, larger)
         before, state = state, _checksum(edges)
         if state == before:
             break
