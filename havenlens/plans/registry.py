@@ -1055,7 +1055,8 @@ def _(c):
  FROM nba asked JOIN nba ON nba.customer_id = (SELECT min(x.customer_id) FROM nba x WHERE x.full_name = asked.full_name)
  LEFT JOIN top_text ON top_text.customer_id = nba.customer_id""")
 def _(c):
-    nba = c.book.nba
+    """On the actions written once: questions, ids, names and answers are read from them."""
+    nba = io.snapshot_360(c.book.nba, c.scratch("nba"))
     questions = nba.select(F.expr("substr(customer_id, 2)").cast("bigint").alias("question_id"),
                            F.concat(F.lit("What about "), "full_name", F.lit("?")).alias("question"))
     return ask_batch.lookup_batch(questions, nba, WORDING)

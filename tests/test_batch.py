@@ -11,7 +11,7 @@ from sample_days import AS_OF
 
 from havenlens import constants as K
 from havenlens.operators import ask, ask_batch, serving
-from havenlens.operators.grams import containing
+from havenlens.operators.grams import containing, meeting
 
 QUESTIONS = [
     "Which motor policyholders renewing in the next 60 days are at risk?", "How much premium is at risk in Pune?",
@@ -91,6 +91,16 @@ def test_containing_is_substring_search(spark):
     assert "NestedLoop" not in plan_of(hits)
 
 
+def test_names_that_differ_in_a_digit_hardly_meet(spark):
+    """Needles of three-letter grams met every name with the same three digits, which grew with the square of the names."""
+    names = [f"customer#{i:09d}" for i in range(1500)]
+    texts = spark.createDataFrame([(i, f"what about {n}?") for i, n in enumerate(names)], "text_id int, hay string")
+    needles = spark.createDataFrame([(n, n) for n in [*names, "customer#00000001", ""]], "needle_id string, needle string")
+    assert meeting(texts, needles.where("length(needle) > 17")).count() <= 2 * len(names)
+    found = {(r.text_id, r.needle) for r in containing(texts, needles).select("text_id", "needle").collect()}
+    assert found == {(i, n) for i, name in enumerate(names) for n in (name, "customer#00000001", "") if n in name}
+
+
 def test_lookups_with_names_inside_names(spark, book, tmp_path):
     columns = [c for c in book.nba.columns if c not in ("customer_id", "full_name")]
     base = book.nba.where("customer_id = 'claims'").select(*columns)
