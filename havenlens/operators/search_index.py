@@ -32,6 +32,8 @@ PUSHED_BLOCKS = 100
 SLACK = 1e-6
 #: Loads after which an index is rewritten as one, so that neither files nor superseded rows pile up.
 MOST_LOADS = 32
+#: Bytes of a row group of what a load works out of its documents.
+GROUP_BYTES = 8 << 20
 
 
 @dataclass(frozen=True)
@@ -52,7 +54,7 @@ class Index:
 
 
 def _tokens(text: Column) -> Column:
-    return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda t: t != "")
+    return F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), "")
 
 
 def _part(column: str, parts: int) -> Column:
@@ -132,37 +134,67 @@ def _load(corpus: DataFrame, path: str, id_column: str, text_column: str, replac
         _publish(spark, path, 1)
     index, load = open_index(spark, path), uuid.uuid4().hex
     old = index.live_docs.select("id", F.col("load").alias("old_load"), F.col("doc_len").alias("old_len"), F.col("print").alias("old_print"))
-    rows = corpus.select(F.col(id_column).alias("id"), *CARRIED, "summary", _tokens(F.col(text_column)).alias("tokens"),
+    if not replace:
+        corpus = corpus.join(old.select(F.col("id").alias(id_column)), id_column, "left_anti")
+    rows = corpus.select(F.col(id_column).alias("id"), *CARRIED, "summary", F.sort_array(_tokens(F.col(text_column))).alias("tokens"),
                          F.xxhash64(*CARRIED, "summary", text_column).alias("print"))
-    changed = F.col("old_load").isNull() | (F.lit(replace) & (F.col("print") != F.col("old_print")))
-    fresh = rows.join(old, "id", "left").where(changed).withColumns({"doc_len": F.size("tokens").cast("long"), "load": F.lit(load)})
-    superseded = fresh.where("old_load IS NOT NULL").select("id", "old_load", "old_len")
-    if deleted is not None:
-        dropped = deleted.select(F.col(deleted.columns[0]).alias("id")).distinct().join(rows.select("id"), "id", "left_anti")
-        superseded = superseded.unionByName(old.join(dropped, "id").select("id", "old_load", "old_len"))
-    superseded.select("id", F.col("old_len").alias("doc_len"), F.col("old_load").alias("load"), F.lit(load).alias("by")).write.mode(
-        "append").parquet(f"{index.folder}/gone")
+    fresh = rows
+    if replace:
+        fresh = rows.join(old, "id", "left").where(F.col("old_load").isNull() | (F.col("print") != F.col("old_print")))
+    kept = scratch_path(spark, "fresh")
+    _write_counted(fresh, f"{kept}/docs")
+    fresh = spark.read.parquet(f"{kept}/docs")
+    if replace:
+        superseded = fresh.where("old_load IS NOT NULL").select("id", "old_load", "old_len")
+        if deleted is not None:
+            dropped = deleted.select(F.col(deleted.columns[0]).alias("id")).distinct().join(
+                corpus.select(F.col(id_column).alias("id")), "id", "left_anti")
+            superseded = superseded.unionByName(old.join(dropped, "id").select("id", "old_load", "old_len"))
+        superseded.select("id", F.col("old_len").alias("doc_len"), F.col("old_load").alias("load"), F.lit(load).alias("by")).write.mode(
+            "append").parquet(f"{index.folder}/gone")
     gone = _read(spark, index.folder, "gone").where(F.col("by") == load)
-    _write_postings(fresh, index.folder)
+    _write_postings(fresh, index.folder, load, f"{kept}/repeated")
     _write_blocks(spark, index.folder, load)
-    new = _read(spark, index.folder, "postings").where(F.col("load") == load)
-    lost = index.postings.join(gone.select("id", "load"), ["id", "load"], "left_semi")
-    counts = new.select("term_part", "term", F.lit(1).alias("n")).unionByName(lost.select("term_part", "term", F.lit(-1).alias("n")))
+    counts = _read(spark, index.folder, "blocks").where(F.col("load") == load).select("term_part", "term", "n")
+    if replace:
+        lost = index.postings.join(gone.select("id", "load"), ["id", "load"], "left_semi")
+        counts = counts.unionByName(lost.select("term_part", "term", F.lit(-1).alias("n")))
     _write_terms(counts.groupBy("term_part", "term").agg(F.sum("n").alias("n_docs")).withColumn("load", F.lit(load)), index.folder)
-    fresh.select("id", *CARRIED, "summary", "doc_len", "print", "load").write.mode("append").parquet(f"{index.folder}/docs")
+    fresh.select("id", *CARRIED, "summary", "doc_len", "print", F.lit(load).alias("load")).write.mode("append").parquet(f"{index.folder}/docs")
     added = _read(spark, index.folder, "docs").where(F.col("load") == load)
     _write_load(added.select("doc_len", F.lit(1).alias("n")).unionByName(
         gone.select((-F.col("doc_len")).alias("doc_len"), F.lit(-1).alias("n"))), load, index.folder)
+    drop(spark, kept)
     if _read(spark, index.folder, "loads").count() >= MOST_LOADS:
         compact_index(spark, path)
 
 
-def _write_postings(docs: DataFrame, folder: str) -> None:
-    own = ["id", *CARRIED, "doc_len", "load"]
-    postings = docs.select(*own, F.explode("tokens").alias("term")).groupBy(*own, "term").agg(F.count("*").alias("tf")).withColumns({
+def _write_counted(docs: DataFrame, path: str) -> None:
+    """Each document of a load with its length and the counts of its different terms, worked out once and in its own row.
+
+    `tokens` are sorted, so a term is a run of them: no token becomes a row, and postings are as many rows as they hold.
+    """
+    tokens = F.col("tokens")
+    starts = F.filter(F.transform(tokens, lambda t, i: F.when((i == 0) | (t != F.get(tokens, i - 1)), i)), lambda i: i.isNotNull())
+    counts = F.transform("starts", lambda at, i: F.struct(
+        F.get(tokens, at).alias("term"), (F.coalesce(F.get("starts", i + 1), F.size(tokens)) - at).cast("long").alias("tf")))
+    counted = docs.withColumns({"doc_len": F.size(tokens).cast("long"), "starts": starts}).withColumn("counts", counts)
+    own = F.xxhash64("id", *CARRIED, "doc_len").alias("own")
+    # small row groups, so that what follows is as many tasks however few files the corpus came from
+    counted.drop("tokens", "starts").select("*", own).write.option("parquet.block.size", GROUP_BYTES).parquet(path)
+
+
+def _write_postings(docs: DataFrame, folder: str, load: str, scratch: str) -> None:
+    """Rows that agree in id and all a posting carries count as one document; no others need to meet to be counted."""
+    own = ["id", *CARRIED, "doc_len"]
+    docs.groupBy("own").agg(F.count("*").alias("n")).where("n > 1").select("own").write.parquet(scratch)
+    repeated = docs.sparkSession.read.parquet(scratch)
+    of_one = docs.join(repeated, "own", "left_anti").select(*own, F.inline("counts"))
+    of_more = docs.join(repeated, "own", "left_semi").select(*own, F.inline("counts")).groupBy(*own, "term").agg(F.sum("tf").alias("tf"))
+    postings = of_one.unionByName(of_more).withColumns({
         "block": F.floor(BLOCKS * _worth(F.col("tf"), F.col("doc_len"), F.lit(USUAL_WORDS))).cast("int"),
         "term_part": _part("term", TERM_PARTS)})
-    _by_term(postings, "block").write.mode("append").partitionBy("term_part").parquet(f"{folder}/postings")
+    _by_term(postings, "block").withColumn("load", F.lit(load)).write.mode("append").partitionBy("term_part").parquet(f"{folder}/postings")
 
 
 def _worth(tf: Column, doc_len: Column, average: Column) -> Column:

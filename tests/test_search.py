@@ -172,6 +172,29 @@ def test_a_search_reads_postings_and_no_text(spark, index):
     assert filters and all("PartitionFilters: [term_part" in line for line in filters)
 
 
+def test_a_load_works_out_its_corpus_once_and_counts_in_rows(spark, tmp_path):
+    """Every step of a load made the corpus anew; equal rows still count as one document of all their words."""
+    from havenlens.operators import search_index
+
+    read = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    none = [functions.lit(None).cast("string").alias(c) for c in (*search_index.CARRIED, "summary")]
+    texts = {1: "b a b", 2: "", 3: "c, b b b", 4: None}
+    rows = spark.createDataFrame([*texts.items(), (3, texts[3]), (None, "a"), (None, "a a")], "doc_id int, text string")
+    corpus = rows.coalesce(1).mapInArrow(count, rows.schema).select("doc_id", "text", *none)
+    path = str(tmp_path / "index")
+    search_index.append_index(corpus, path, "doc_id", "text")
+    assert read.value == 7
+    held = search_index.open_index(spark, path).postings.select("id", "term", "tf", "doc_len").collect()
+    assert sorted(map(tuple, held), key=str) == sorted(
+        [(1, "a", 1, 3), (1, "b", 2, 3), (3, "b", 6, 4), (3, "c", 2, 4), (None, "a", 1, 1), (None, "a", 2, 2)], key=str)
+
+
 def test_index_search_per_customer_among_members(spark, index, book):
     from havenlens.operators import search_index
 
