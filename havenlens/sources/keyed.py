@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Mapping
+from collections.abc import Iterable, Mapping
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,16 +17,19 @@ def _table_name(path: str) -> str:
     return "keyed_" + uuid.uuid5(uuid.NAMESPACE_URL, path).hex
 
 
-def write_keyed(df: DataFrame, path: str, key: str, buckets: int, spread: int = 1) -> DataFrame:
+def write_keyed(df: DataFrame, path: str, key: str, buckets: int, spread: int = 1, distinct: Iterable[str] = ()) -> DataFrame:
     """Write df below a new path in `buckets` buckets by `key`, sorted by it in each file, and return the stored table.
 
     The rows are brought to their buckets before they are written, so that a bucket has `spread` files at most: one for a
-    table with a row per key, several for facts, so that no task writes all rows of a frequent key.
+    table with a row per key, several for facts, so that no task writes all rows of a frequent key. A spread of 0 leaves rows
+    where they are: for rows that were read from the files of a table with the same buckets, of which a task holds a few.
+    Columns named `distinct` have a value of their own in most rows, so no dictionary is tried on them.
     """
     bucket = F.pmod(F.hash(key), F.lit(buckets))  # Spark's own bucket number
-    dealt = (df.repartition(buckets, key) if spread == 1 else
+    dealt = (df if spread == 0 else df.repartition(buckets, key) if spread == 1 else
              df.repartition(buckets * spread, bucket, F.pmod(F.xxhash64(*df.columns), F.lit(spread))))
-    dealt.write.bucketBy(buckets, key).sortBy(key).option("path", path).format("parquet").saveAsTable(_table_name(path))
+    plain = {f"parquet.enable.dictionary#{name}": "false" for name in distinct}
+    dealt.write.bucketBy(buckets, key).sortBy(key).options(**plain).option("path", path).format("parquet").saveAsTable(_table_name(path))
     return df.sparkSession.table(_table_name(path))
 
 

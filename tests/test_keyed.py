@@ -93,3 +93,39 @@ def test_a_run_that_broke_off_is_not_read(spark, stored, plain_book, monkeypatch
     store_keyed(spark, plain_book, folder, 4)
     again = open_keyed_book(spark.newSession(), plain_book, folder).nba
     assert again.inputFiles() != before.nba.inputFiles() and again.count() == before.nba.count()
+
+
+def test_insights_lie_in_the_buckets_of_their_calls_without_an_exchange(spark, stored, plain_book, tmp_path, monkeypatch, no_broadcast):
+    from pyspark.sql import functions as F
+
+    made = {}
+    write = keyed.write_keyed
+
+    def noted(df, path, key, buckets, spread=1, distinct=()):
+        made[path.rsplit("/", 1)[1]] = "Exchange" in plan_of(df) or spread > 1
+        return write(df, path, key, buckets, spread, distinct)
+
+    monkeypatch.setattr(keyed, "write_keyed", noted)
+    again = store_keyed(spark, plain_book, str(tmp_path), BUCKETS, spread=2)
+    assert set(made) == {*SOURCES, "interaction_insights", "customer_360", "churn_risk", "next_best_actions"}
+    assert not any(made[name] for name in ("interaction_insights", "customer_360", "churn_risk", "next_best_actions"))
+    assert again.insights.exceptAll(plain_book.insights).count() == plain_book.insights.exceptAll(again.insights).count() == 0
+    lying = [b.select("transcript_id", F.regexp_extract(F.input_file_name(), r"_(\d+)\.c", 1).alias("bucket"))
+             for b in (again.call_transcripts, again.insights)]
+    assert lying[0].exceptAll(lying[1]).count() == 0 and lying[1].where("bucket = ''").count() == 0
+
+
+def test_insights_that_exist_are_dealt_into_buckets(spark, stored, plain_book, tmp_path):
+    scored = stored[1].insights.coalesce(1).select("*")
+    again = store_keyed(spark, plain_book, str(tmp_path), BUCKETS, spread=2, scored=scored)
+    assert again.insights.exceptAll(scored).count() == scored.exceptAll(again.insights).count() == 0
+
+
+def test_a_lane_that_broke_off_breaks_the_run(spark, stored, plain_book, monkeypatch, tmp_path):
+    def breaks(*_):
+        raise RuntimeError("lost")
+
+    monkeypatch.setattr("havenlens.plans.keyed_book.insights.interaction_insights", breaks)
+    with pytest.raises(RuntimeError, match="lost"):
+        store_keyed(spark, plain_book, str(tmp_path), BUCKETS)
+    assert not (tmp_path / "layouts").exists()
