@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import os
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import SparkSession
@@ -46,6 +48,24 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+DROPPING = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def shuffles_dropped(spark: SparkSession) -> Iterator[None]:
+    """While this holds, what a written plan has exchanged is dropped once it is written, not when the driver happens to
+    collect its garbage. Plans that are run again are better left outside: they would make their exchanges anew."""
+    before = spark.conf.get(DROPPING, None)
+    spark.conf.set(DROPPING, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(DROPPING)
+        else:
+            spark.conf.set(DROPPING, before)
+
+
 def ship_package(spark: SparkSession) -> None:
     """Let Python workers import this package from where the driver has it, whatever their working folder is."""
     root = str(Path(__file__).resolve().parents[1])

@@ -35,3 +35,9 @@ def claim(spark: SparkSession, path: str, name: str) -> int:
 def drop(spark: SparkSession, path: str) -> None:
     folder = spark._jvm.org.apache.hadoop.fs.Path(path)
     folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def size_of(spark: SparkSession, path: str) -> int:
+    """Bytes of all files below a path."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return folder.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(folder).getLength()
