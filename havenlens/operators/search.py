@@ -22,6 +22,8 @@ FUSION = 60
 PARTS = 64
 #: Vectors and query vectors that one task multiplies at a time.
 VECTOR_ROWS, QUERY_ROWS = 16_384, 2_048
+#: What is shown of a customer of a cohort, besides the calls cited.
+COHORT = ("customer_id", "full_name", "risk_band", "risk_score", "action", "channel")
 
 
 @dataclass(frozen=True)
@@ -148,8 +150,7 @@ def with_citations(cohort: DataFrame, found: DataFrame) -> DataFrame:
                                              .alias("found"))
     ids = F.transform("found", lambda c: F.concat(F.lit("["), c.getField("transcript_id"), F.lit("]")))
     return cohort.join(cited, "customer_id", "left").select(
-        "customer_id", "full_name", "risk_band", "risk_score", "action", "channel",
-        F.coalesce(F.array_join(ids, " "), F.lit("")).alias("citations"))
+        *COHORT, F.coalesce(F.array_join(ids, " "), F.lit("")).alias("citations"))
 
 
 def vector_search(vectors: DataFrame, queries: DataFrame, k: int = 5, on: Sequence[str] = (),

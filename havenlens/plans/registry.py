@@ -21,7 +21,7 @@ from havenlens.plans import fixtures as fx
 from havenlens.plans.book import Book, run_stages
 from havenlens.plans.checks import f2, r, with_steps
 from havenlens.plans.keyed_book import open_keyed_book, store_keyed
-from havenlens.session import scratch_path
+from havenlens.session import scratch_path, shuffles_dropped
 from havenlens.sources import tables as io
 from havenlens.streaming import jobs
 
@@ -1260,8 +1260,10 @@ def _(c):
 
 @query("cohort_with_evidence_index")
 def _(c):
+    """The cohort is worked out once, before the index is there: it says who is searched and who is shown."""
+    with shuffles_dropped(c.spark):
+        high = io.snapshot_360(c.book.nba.where(F.col("risk_band") == "High").select(*search.COHORT), c.scratch("high"))
     path, asked = evidence_index(c)
-    high = c.book.nba.where(F.col("risk_band") == "High")
     found = search_index.search_index(asked, path, 5, "customer_id", high)
     return search.with_citations(high, found.withColumnRenamed("id", "transcript_id"))
 
