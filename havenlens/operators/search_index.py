@@ -36,7 +36,7 @@ MOST_LOADS = 32
 GROUP_BYTES = 8 << 20
 #: Postings are exchanged and written in this many slices of their folders at most, one for so many bytes of what they come
 #: from; what a slice has exchanged is dropped before the next one begins.
-SLICES, SLICE_BYTES = 8, 16 << 20
+SLICES, SLICE_BYTES = 4, 16 << 20
 
 
 def _packed(*distinct: str) -> dict[str, str]:
